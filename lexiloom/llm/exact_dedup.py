@@ -149,6 +149,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = materialize(rows, "members")
     hits = rows.filter("group_size > 1")
     stay = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("digest").alias("d"), F.col("norm").alias("kept_norm")).dropDuplicates(["d"])
+    stay = materialize(stay, "stay")  # so that the join below shuffles both sides and its hot digests can be split
     checked = hits.join(stay, F.col("digest") == F.col("d")).withColumn("same", F.col("norm") == F.col("kept_norm"))
     same = checked.filter("same").drop("d", "kept_norm", "same")
     unlike = materialize(checked.filter("not same").drop("d", "kept_norm", "same"), "unlike")
