@@ -6,8 +6,8 @@ expectation-maximisation gives the proportions of languages in the document. Lan
 growing size, the most likely languages first, compete by penalised likelihood; the prediction is
 the largest share in the chosen set and the score that share.
 
-The model is fitted on a bounded sample: of each language the ``per_lang`` training documents with the
-smallest md5 of their id, whole texts. Prediction reads every whole text.
+The model is fitted on a bounded sample: of each language the training documents whose hashed id
+falls below a share of ``per_lang`` / their number, which are about ``per_lang``, whole texts. Prediction reads every whole text.
 
 Defined results: null texts and texts without a letter give ``und`` and score 0; texts shorter than
 an n-gram give the first language and score 0.5. Repeated rows are
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket, byte_view, read, slices
@@ -49,10 +49,10 @@ def _codes(raw: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = PER_LANG) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihood of each hashed n-gram under each language)."""
-    w = Window.partitionBy("lang").orderBy("key", "id", F.xxhash64("text"))
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.md5(F.col(id_col).cast("string")).alias("key"))
-    rows = rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_lang)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / (1 << 30)).alias("u"))
+    sizes = rows.groupBy("lang").agg((per_lang / F.count("*")).alias("part"))
+    rows = rows.join(F.broadcast(sizes.withColumnRenamed("lang", "l")), F.col("lang") == F.col("l")).filter("u < part")  # a row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
