@@ -88,8 +88,17 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> Itera
             yield np.zeros(0, np.uint64)
 
 
-def sketch(hashes: np.ndarray, registers: int = REGISTERS, mantissa: int = MANTISSA) -> np.ndarray:
-    """One register a bucket: leading zeros, then mantissa bits, of the smallest hash in it."""
+def ranks(registers: int = REGISTERS) -> np.ndarray:
+    """For each bucket, in which order it looks to other buckets when it is empty."""
+    return (mix64(np.arange(registers * registers, dtype=np.uint64) + np.uint64(12345)) >> np.uint64(32)).astype(np.uint32).reshape(registers, registers)
+
+
+def sketch(hashes: np.ndarray, order: np.ndarray, registers: int = REGISTERS, mantissa: int = MANTISSA) -> np.ndarray:
+    """One register a bucket: leading zeros, then mantissa bits, of the smallest hash in it.
+
+    An empty bucket takes the register of the full bucket that ranks first for it, so that small sets too agree
+    in each register with a probability near their similarity.
+    """
     out = np.full(registers, _EMPTY, np.uint16)
     if not len(hashes):
         return out
@@ -102,19 +111,21 @@ def sketch(hashes: np.ndarray, registers: int = REGISTERS, mantissa: int = MANTI
     zeros = np.minimum(63 - np.floor(np.log2(np.maximum(v, 1).astype(np.float64))), 62).astype(np.uint64)
     rest = (v << (zeros + np.uint64(1))) >> np.uint64(64 - mantissa)
     out[full] = ((zeros << np.uint64(mantissa)) | rest).astype(np.uint16)
+    at, bare = np.flatnonzero(full), np.flatnonzero(~full)
+    if len(bare):
+        out[bare] = out[at[order[np.ix_(bare, at)].argmin(axis=1)]]
     return out
 
 
-def estimates(one: np.ndarray, many: np.ndarray, mantissa: int = MANTISSA) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of one sketch with many, and the number of registers in use by either."""
-    used = (one != _EMPTY) | (many != _EMPTY)
-    m = np.maximum(used.sum(axis=1), 1)
-    equal = ((one == many) & used).sum(axis=1)
+def estimates(one: np.ndarray, many: np.ndarray, mantissa: int = MANTISSA) -> np.ndarray:
+    """Jaccard estimates of one sketch with many, without the registers that agree by chance."""
+    equal = (one == many).mean(axis=1)
     chance = 2.0**-mantissa / 3  # two unlike minima share zeros (1/3) and mantissa
-    return np.clip((equal / m - chance) / (1 - chance), 0, 1), m
+    return np.clip((equal - chance) / (1 - chance), 0, 1)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order = ranks()
     for b in batches:
         raw, off = byte_view(b.column(1))
         n, low, high, bands = [], [], [], []
@@ -126,10 +137,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low.append(int(np.add.reduce(s, dtype=np.uint64).view(np.int64)))
                 high.append(int(np.add.reduce(mix64(spread ^ _SALTS[270]), dtype=np.uint64).view(np.int64)))
                 if len(s):
-                    regs = sketch(s).reshape(BANDS, ROWS)
-                    keys = regs.view(np.uint64)
-                    keys = mix64(mix64(keys[:, 0] + _SALTS[:BANDS]) + keys[:, 1])
-                    bands.append(keys[(regs != _EMPTY).any(axis=1)].view(np.int64).tolist())
+                    keys = sketch(s, order).reshape(BANDS, ROWS).view(np.uint64)
+                    bands.append(mix64(mix64(keys[:, 0] + _SALTS[:BANDS]) + keys[:, 1]).view(np.int64))
                 else:
                     bands.append([])
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n", "c1", "c2", "bands"])
@@ -137,6 +146,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets and sketches of the candidates."""
+    order = ranks()
     for b in batches:
         raw, off = byte_view(b.column(1))
         sets, sketches = [], []
@@ -144,7 +154,7 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = off[lo : hi + 1]
             for s in shingle_sets(raw[part[0] : part[-1]], part - part[0]):
                 sets.append(s.tobytes())
-                sketches.append(sketch(s).tobytes())
+                sketches.append(sketch(s, order).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary()), pa.array(sketches, pa.binary()), *(b.column(k) for k in range(2, b.num_columns))], names=["doc_id", "grams", "sketch", *b.schema.names[2:]])
 
 
@@ -165,9 +175,9 @@ def _verify(percent: int):
                 rest = rest[half[rest] != half[i]]
             if not len(rest):
                 continue
-            est, m = estimates(sketches[i], sketches[rest])
-            p = percent / 100
-            rest = rest[est >= p - 6 * np.sqrt(p * (1 - p) / m)]
+            # few shingles give few independent registers
+            p, m = percent / 100, np.minimum(sketches.shape[1], np.minimum(size[rest], size[i]))
+            rest = rest[estimates(sketches[i], sketches[rest]) >= p - 8 * np.sqrt(p * (1 - p) / m)]
             for j in rest:
                 if root[j] == root[i]:
                     continue
