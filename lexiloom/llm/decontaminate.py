@@ -60,38 +60,41 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int =
         rows = rows.withColumn("hits", _hits(lens, heads, hashes))
     else:
         rows = rows.withColumn("hits", _hits(lens, None, None))
-    # the words stay only where something is to be verified
-    rows = rows.withColumn("w", F.when(F.size("hits") > 0, F.col("w"))).withColumn("_row", F.monotonically_increasing_id())
+    # only the words of the hits stay, and in the shuffled form the words, for the join to come
     if few:
-        rows = materialize(rows, "scan")
-        hits = rows.filter("size(hits) > 0").select("_row", "w", F.explode("hits").alias("h"))
-        hits = hits.select("_row", "h.pos", "h.len", F.array_join(F.expr("slice(w, h.pos, h.len)"), " ").alias("run"))
+        run = F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["len"].alias("len"), F.array_join(F.slice("w", h["pos"], h["len"]), " ").alias("run")))
+        rows = materialize(rows.withColumn("hits", run).drop("w").withColumn("_row", F.monotonically_increasing_id()), "scan")
+        hits = rows.select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
     else:
-        rows = materialize(rows, "scan")
-        probes = rows.select("_row", F.explode("hits").alias("h")).select("_row", "h.pos", "h.len", "h.hash")
+        rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "scan")
+        probes = rows.select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
         probes = probes.join(wins.select("len", "hash").distinct(), ["len", "hash"], "left_semi").select("_row", "pos", "len")
         hits = probes.join(rows.select("_row", "w"), "_row").select("_row", "pos", "len", F.array_join(F.expr("slice(w, pos, len)"), " ").alias("run"))
     hits = hits.join(small(wins.select("len", "run", "item_id")), ["len", "run"])
     per = hits.groupBy("_row").agg(F.collect_set(F.struct("pos", "len")).alias("p"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.expr("transform(p, x -> sequence(x.pos - 1, x.pos + x.len - 2))"))))
     per = per.select(F.col("_row").alias("r"), covered.alias("hit_at"), "item_ids")
-    out = rows.select(*keep, "n_words", "_row").join(small(per), F.col("_row") == F.col("r"), "left")
+    out = rows.select(*keep, "n_words", "_row").join(per, F.col("_row") == F.col("r"), "left")
     return out.select(*keep, "n_words", F.coalesce("hit_at", F.expr("array_repeat(0, 0)")).alias("hit_at"), F.coalesce("item_ids", F.expr("array_repeat('', 0)")).alias("item_ids"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "document", size: int = SIZE, min_share: float = 0.0, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` without contaminated documents (more than ``min_share`` of words hit), or, with mode
-    ``span``, with hit words replaced by nothing in their texts."""
-    found = scan(docs.withColumn("_all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), items, size, max_windows, ("_all",))
+    ``span``, with the hit words taken out of their texts."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    found = scan(keyed.select(F.col("_all.text").alias("text"), "_id", "_th"), items, size, max_windows, ("_id", "_th"))
+    bad = found.filter((F.size("hit_at") > 0) & (F.size("hit_at") > F.lit(min_share) * F.col("n_words")))
+    bad = materialize(bad.select(F.col("_id").alias("i"), F.col("_th").alias("t"), "hit_at").dropDuplicates(["i", "t"]), "leaks")
+    same = F.col("_id").eqNullSafe(F.col("i")) & (F.col("_th") == F.col("t"))
     if mode == "document":
-        return found.filter(F.size("hit_at") <= F.lit(min_share) * F.col("n_words")).select("_all.*")
+        return keyed.join(small(bad.select("i", "t")), same, "left_anti").select("_all.*")
     text = F.col("_all.text")
     gaps = F.split(ascii_lower(text), WORD, -1)  # what stands around the words; lengths are as in the text
     pieces = F.regexp_extract_all(text, F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")), F.lit(0))
     kept = F.transform(pieces, lambda x, i: F.when(F.array_contains("hit_at", i), F.lit("")).otherwise(x))
     joined = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(kept, i), F.lit(""))))), "")
-    clean = F.when(F.size("hit_at") > 0, joined).otherwise(text)
-    return found.select(F.col("_all").withField("text", clean).alias("_all")).select("_all.*")
+    clean = F.when(F.col("hit_at").isNotNull(), joined).otherwise(text)
+    return keyed.join(bad, same, "left").select(F.col("_all").withField("text", clean).alias("_all")).select("_all.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
