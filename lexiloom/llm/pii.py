@@ -90,8 +90,11 @@ def disclosing(docs: DataFrame, near: DataFrame, total: int, min_docs: int, min_
     """(value, term) that disclose. ``near``: (_row, value, term, ...) of terms near values."""
     pairs = near.select("_row", "value", "term").distinct()
     both = pairs.groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_docs)
+    # a term has at least the documents that hold it near any value: most common words end here
+    least = pairs.select("_row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_least"))
+    both = both.join(least, "term").filter(F.col("n_both") >= min_share * F.col("n_least"))
     values = pairs.select("_row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    both = materialize(both.join(values, "value"), "pairs")
+    both = materialize(both.join(values, "value").drop("n_least"), "pairs")
     terms = both.select("term").distinct()
     seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("t"))
     counts = seen.join(small(terms), F.col("t") == F.col("term"), "left_semi").groupBy("t").agg(F.count("*").alias("n_term"))
