@@ -18,7 +18,7 @@ from lexiloom.llm import near_dedup as near
 from lexiloom.llm.common import bucket, materialize, read, small
 
 #: A document without a language of at least this share is rejected, as is one without letters.
-MIN_SHARE = 0.5
+MIN_SHARE = 1 / 3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

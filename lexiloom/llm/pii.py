@@ -96,7 +96,7 @@ def disclosing(docs: DataFrame, near: DataFrame, total: int, min_docs: int, min_
     values = pairs.select("_row", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
     both = materialize(both.join(values, "value").drop("n_least"), "pairs")
     terms = both.select("term").distinct()
-    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("t"))
+    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("t"))
     counts = seen.join(small(terms), F.col("t") == F.col("term"), "left_semi").groupBy("t").agg(F.count("*").alias("n_term"))
     both = both.join(counts, F.col("term") == F.col("t"))
     pmi = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_value") * F.col("n_term")))
@@ -106,15 +106,15 @@ def disclosing(docs: DataFrame, near: DataFrame, total: int, min_docs: int, min_
 def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_pmi: float = MIN_PMI) -> DataFrame:
     """``keep`` columns and an array of (start, end, text) for each kind and for ``term``."""
     names = [k for k, _, _ in KINDS]
-    src = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = src.select(*keep, *[c.alias(f"_{k}") for k, c in base_spans(F.col("text")).items()], "text")
+    src = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = src.select(*keep, *[c.alias(f"_{k}") for k, c in base_spans(F.col("_text")).items()], "_text")
     around = F.concat(*[F.transform(f"_{k}", lambda s: F.struct(F.lower(s["text"]).alias("value"), F.greatest(s["start"] - NEAR, F.lit(0)).alias("from"), s["start"].alias("start"), s["end"].alias("end"))) for k in names])
     contexts = F.flatten(F.transform(around, lambda a: F.array(
-        F.struct(a["value"].alias("value"), a["from"].alias("at"), F.substring(F.col("text"), a["from"] + 1, a["start"] - a["from"]).alias("text")),
-        F.struct(a["value"].alias("value"), a["end"].alias("at"), F.substring(F.col("text"), a["end"] + 1, F.lit(NEAR)).alias("text")),
+        F.struct(a["value"].alias("value"), a["from"].alias("at"), F.substring(F.col("_text"), a["from"] + 1, a["start"] - a["from"]).alias("text")),
+        F.struct(a["value"].alias("value"), a["end"].alias("at"), F.substring(F.col("_text"), a["end"] + 1, F.lit(NEAR)).alias("text")),
     )))
     found = found.withColumn("_around", F.when(F.greatest(*[F.size(f"_{k}") for k in names]) > 0, contexts))
-    found = materialize(found.drop("text").withColumn("_row", F.monotonically_increasing_id()), "spans")
+    found = materialize(found.drop("_text").withColumn("_row", F.monotonically_increasing_id()), "spans")
     # words cut by the edge of a context are left out
     ctx = found.filter("_around is not null").select("_row", F.explode("_around").alias("a"))
     words = F.filter(spans(F.col("a.text"), TERM), lambda s: (s["start"] > 0) & (s["end"] < F.char_length("a.text")))
