@@ -4,16 +4,431 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import alphabet as A
+from ..functions import text as X
+from ..operators import prosody, sandhi
+from ..sources.meters import GANAS, ROWS
+from . import duck as D
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return verse_scan(spark, sf_dir)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    cut = F.split(X.to_phonemes(F.coalesce(text, F.lit(""))), "\n")
+    return df.select(*keys, F.posexplode(cut).alias("pos", "line")).filter("line <> ''").withColumn("pos", F.col("pos").cast("long"))
+
+
+def words(df: DataFrame, *keys: str) -> DataFrame:
+    return lines(df, *keys).select(*keys, "pos", F.posexplode(F.split("line", " ")).alias("wpos", "word")).withColumn("wpos", F.col("wpos").cast("long"))
+
+
+def _n(c="*"):
+    return F.count(c).alias("n")
+
+
+_TEXT = "coalesce(text, '')"
+
+
+# --- script and syllables ---------------------------------------------------------------------------
+@query(f"SELECT doc_id, {D.phonemes(chr(99) + 'oalesce(text, $$$$)')} AS phonemes FROM documents")
+def translit_roman(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.to_phonemes(F.coalesce("text", F.lit(""))).alias("phonemes"))
+
+
+@query(f"""WITH l AS (SELECT lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+SELECT lang, count(*) AS n_lines, count_if(regexp_matches(line, '[ऀ-ॣ]'))::BIGINT AS n_native, count_if({D.is_phonemes('line')})::BIGINT AS n_encoded FROM l GROUP BY lang""")
+def script_dispatch_counts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_lines"), F.count_if(X.has_native(F.col("line"))).alias("n_native"), F.count_if(X.is_phonemes(F.col("line"))).alias("n_encoded"))
+
+
+@query(f"""WITH {D.words('benchmark', 'item_id')}
+SELECT DISTINCT word, CASE WHEN regexp_matches(word, '[{A.VOWELS}]') THEN array_to_string(regexp_extract_all(word, {D.q(f'^[^{A.VOWELS}]*{D.UNIT}|{D.UNIT}')}), '-') ELSE word END AS syllables FROM words""")
+def syllabify_words(spark, sf_dir):
+    w = words(table(spark, sf_dir, "benchmark"), "item_id").select("word").distinct()
+    return w.select("word", F.array_join(X.syllables(F.col("word")), "-").alias("syllables"))
+
+
+@query(f"WITH {D.lines('conversations', 'conv_id, turn')} SELECT conv_id, turn, pos, {D.weights('line')} AS w FROM lines")
+def syllable_weights(spark, sf_dir):
+    return lines(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "pos", X.weights(F.col("line")).alias("w"))
+
+
+@query(f"""WITH {D.lines('documents', 'doc_id, lang')}, w AS (SELECT lang, {D.weights('line')} AS w FROM lines)
+SELECT lang, count(*) AS n_lines, sum(length(w))::BIGINT AS n_syllables, sum(length(replace(w, 'L', '')))::BIGINT AS n_heavy, sum(2 * length(w) - length(replace(w, 'G', '')))::BIGINT AS n_morae FROM w GROUP BY lang""")
+def weight_profile_by_lang(spark, sf_dir):
+    w = lines(table(spark, sf_dir, "documents"), "doc_id", "lang").select("lang", X.weights(F.col("line")).alias("w"))
+    heavy = F.char_length(F.replace("w", F.lit("L"), F.lit("")))
+    return w.groupBy("lang").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("w")).cast("long").alias("n_syllables"), F.sum(heavy).cast("long").alias("n_heavy"), F.sum(X.morae(F.col("w"))).alias("n_morae"))
+
+
+@query(f"""WITH {D.lines('benchmark', 'item_id')}
+SELECT item_id, pos, array_to_string(list_transform(regexp_extract_all({D.weights('line')}, '[LG]{{3}}|[LG]'), lambda p: map_extract_value({D.mapping({v: k for k, v in GANAS.items()})}, p)), '-') AS ganas FROM lines""")
+def gana_decompose(spark, sf_dir):
+    return lines(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "pos", X.decompose(X.weights(F.col("line"))).alias("ganas"))
+
+
+# --- meters ---------------------------------------------------------------------------------------------
+@query(f"""WITH {D.meters()}, {D.lines('benchmark', 'item_id')}, w AS (SELECT item_id, pos, {D.weights('line')} AS w FROM lines),
+s AS (SELECT item_id, pos, w, name, ord, list_min(list_transform(string_split(pattern, '/'), lambda p: {D.distance('w', 'p')})) AS distance FROM w, meters),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id, pos ORDER BY distance, name, ord) AS rank FROM s)
+SELECT item_id, pos, w, rank, name, distance FROM r WHERE rank <= 3""")
+def meter_identify_top3(spark, sf_dir):
+    w = lines(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "pos", X.weights(F.col("line")).alias("w"))
+    return prosody.identify(w, ["item_id", "pos"])
+
+
+_VRTTA = f"""m AS (SELECT ord, name, string_split(pattern, '/') AS ps FROM meters),
+f AS (SELECT id, name, ord, len(ps) = 1 AS one FROM padas, m WHERE w <> '' AND length(w) = length(ps[1 + pos % len(ps)]) AND left(w, length(w) - 1) = left(ps[1 + pos % len(ps)], length(w) - 1)),
+c AS (SELECT id, ord, name, one, count(*) AS hits FROM f GROUP BY ALL),
+v AS (SELECT id, one, arg_min(name, ord) AS name FROM c JOIN (SELECT id, count(*) AS n FROM padas GROUP BY id) USING (id) WHERE hits = n GROUP BY id, one)"""
+
+
+@query(f"""WITH {D.meters()}, {D.lines('documents', 'doc_id')}, padas AS (SELECT doc_id * 100000 + pos AS id, 0 AS pos, {D.weights('line')} AS w FROM lines), {_VRTTA}
+SELECT id, name FROM v WHERE one""")
+def meter_vrtta_exact(spark, sf_dir):
+    w = lines(table(spark, sf_dir, "documents"), "doc_id").select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.lit(0).alias("pos"), X.weights(F.col("line")).alias("w"))
+    return prosody.vrtta(w, "id").filter("one").select("id", "name")
+
+
+_ODD = D.mapping(prosody.ODD)
+_ANUSTUBH = f"""q AS (SELECT id, flat, list_filter(list_transform(range(0, 4), lambda i: substr(flat, i * 8 + 1, 8)), lambda x: x <> '') AS qs FROM flats),
+k AS (SELECT id, flat, list_transform(qs, lambda x: substr(x, 5, 3)) AS cs FROM q),
+o AS (SELECT id, flat, list_transform(list_filter(cs, lambda x, i: i % 2 = 1), lambda x: map_extract_value({_ODD}, x)) AS odd, list_filter(cs, lambda x, i: i % 2 = 0 AND x <> 'LGL') AS bad FROM k),
+an AS (SELECT id, CASE WHEN length(flat) IN (16, 32) AND len(bad) = 0 AND len(list_filter(odd, lambda x: x IS NULL)) = 0
+  THEN CASE WHEN len(list_filter(odd, lambda x: x <> 'pathyā')) = 0 THEN 'pathyā' WHEN len(odd) = 2 AND odd[1] <> 'pathyā' AND odd[2] <> 'pathyā' AND odd[1] <> odd[2] THEN odd[1] || ', ' || odd[2] ELSE list_filter(odd, lambda x: x <> 'pathyā')[1] END END AS label FROM o)"""
+
+
+@query(f"""WITH {D.lines('documents', 'doc_id')}, flats AS (SELECT doc_id AS id, left(string_agg({D.weights('line')}, '' ORDER BY pos), 32) AS flat FROM lines GROUP BY doc_id), {_ANUSTUBH}
+SELECT id AS doc_id, label FROM an WHERE label IS NOT NULL""")
+def anustubh_label(spark, sf_dir):
+    flat = F.substring(F.array_join(F.transform(F.split(X.to_phonemes(F.coalesce("text", F.lit(""))), "\n"), X.weights), ""), 1, 32)
+    rows = table(spark, sf_dir, "documents").select("doc_id", flat.alias("flat"))
+    return rows.select("doc_id", prosody.anustubh(F.col("flat")).alias("label")).filter("label is not null")
+
+
+_JATI = """jt AS (SELECT id, list_contains(s, 12) AND ((list_contains(s, 30) AND list_contains(s, 42) AND (list_contains(s, 57) OR list_contains(s, 56))) OR (list_contains(s, 29) AND list_contains(s, 41) AND (list_contains(s, 56) OR list_contains(s, 55)))) AS ok
+FROM (SELECT id, list_transform(range(1, length(flat) + 1), lambda i: 2 * i - length(replace(left(flat, i), 'G', ''))) AS s FROM flats))"""
+
+
+@query(f"""WITH {D.lines('benchmark', 'item_id')}, flats AS (SELECT item_id AS id, string_agg({D.weights('line')}, '' ORDER BY pos) AS flat FROM lines GROUP BY item_id), {_JATI}
+SELECT id AS item_id, CASE WHEN ok THEN 'āryā' END AS jati FROM jt""")
+def jati_label(spark, sf_dir):
+    flat = F.array_join(F.transform(F.split(X.to_phonemes(F.col("text")), "\n"), X.weights), "")
+    return table(spark, sf_dir, "benchmark").select("item_id", prosody.jati(flat).alias("jati"))
+
+
+@query(f"""WITH {D.meters()}, t AS (SELECT ord, name, pattern, array_to_string(list_transform(string_split(groups, '/'), lambda g: array_to_string(list_transform(string_split(g, '-'), lambda x: map_extract_value({D.mapping(GANAS)}, x)), '')), '/') AS e FROM meters)
+SELECT count(*) AS n_meters, count_if(pattern NOT LIKE '%/%')::BIGINT AS n_single, count_if(pattern <> e)::BIGINT AS n_bad FROM t""")
+def meter_table_audit(spark, sf_dir):
+    t = spark.createDataFrame(ROWS, "ord int, name string, groups string, pattern string")
+    names = X.lookup(GANAS)
+    e = F.array_join(F.transform(F.split("groups", "/"), lambda g: F.array_join(F.transform(F.split(g, "-"), lambda x: F.try_element_at(names, x)), "")), "/")
+    return t.agg(F.count("*").alias("n_meters"), F.count_if(~F.col("pattern").contains("/")).alias("n_single"), F.count_if(F.col("pattern") != e).alias("n_bad"))
+
+
+_FAMILIES = """fam AS (SELECT substr(pattern, 2) AS tail, min(ord) AS first_ord, string_agg(name, '/' ORDER BY name) AS members FROM meters WHERE pattern NOT LIKE '%/%' GROUP BY 1 HAVING count(*) > 1)"""
+
+
+@query(f"WITH {D.meters()}, {_FAMILIES} SELECT tail, first_ord, members FROM fam")
+def upajati_families(spark, sf_dir):
+    return prosody.families(spark)
+
+
+@query(f"""WITH {D.meters()}, {D.lines('documents', 'doc_id')}, padas AS (SELECT doc_id * 100000 + pos // 2 AS id, pos % 2 AS pos, {D.weights('line')} AS w FROM lines), {_FAMILIES},
+g AS (SELECT id, min(substr(w, 2, length(w) - 2)) AS t, min(length(w)) AS n FROM padas GROUP BY id HAVING count(*) >= 2 AND count(DISTINCT length(w)) = 1 AND count(DISTINCT left(w, 1)) >= 2 AND min(substr(w, 2, length(w) - 2)) = max(substr(w, 2, length(w) - 2)) AND min(length(w)) > 0)
+SELECT id, arg_min(members, first_ord) AS members FROM g JOIN fam ON left(tail, length(tail) - 1) = t AND length(tail) = n - 1 GROUP BY id""")
+def upajati_label(spark, sf_dir):
+    w = lines(table(spark, sf_dir, "documents"), "doc_id").select((F.col("doc_id") * 100000 + F.floor(F.col("pos") / 2)).alias("id"), (F.col("pos") % 2).alias("pos"), X.weights(F.col("line")).alias("w"))
+    return prosody.upajati(w, "id")
+
+
+# Well-known verses, as fixed input beside the benchmark texts.
+VERSES = (
+    (-1, "dharmakṣetre kurukṣetre samavetā yuyutsavaḥ\nmāmakāḥ pāṇḍavāścaiva kimakurvata sañjaya"),
+    (-2, "vāgarthāviva saṃpṛktau vāgarthapratipattaye\njagataḥ pitarau vande pārvatīparameśvarau"),
+    (-3, "kaścitkāntāvirahaguruṇā svādhikārātpramattaḥ\nśāpenāstaṃgamitamahimā varṣabhogyeṇa bhartuḥ\nyakṣaścakre janakatanayāsnānapuṇyodakeṣu\nsnigdhacchāyātaruṣu vasatiṃ rāmagiryāśrameṣu"),
+    (-4, "k\nt"),
+    (-5, ""),
+)
+
+
+@query(f"""WITH {D.meters()}, {D.values('vs', 'id, text', VERSES)}, verses AS (SELECT id, text FROM vs UNION ALL SELECT item_id, text FROM benchmark), {D.lines('verses', 'id')},
+padas AS (SELECT id, pos, {D.weights('line')} AS w FROM lines), flats AS (SELECT id, string_agg(w, '' ORDER BY pos) AS flat, count(*) AS n FROM padas GROUP BY id), {_VRTTA}, {_FAMILIES}, {_ANUSTUBH}, {_JATI},
+g AS (SELECT id, min(substr(w, 2, length(w) - 2)) AS t, min(length(w)) AS n FROM padas GROUP BY id HAVING count(*) >= 2 AND count(DISTINCT length(w)) = 1 AND count(DISTINCT left(w, 1)) >= 2 AND min(substr(w, 2, length(w) - 2)) = max(substr(w, 2, length(w) - 2)) AND min(length(w)) > 0),
+up AS (SELECT id, arg_min(members, first_ord) AS mix FROM g JOIN fam ON left(tail, length(tail) - 1) = t AND length(tail) = n - 1 GROUP BY id)
+SELECT verses.id, coalesce(flats.n, 0) AS n_padas, coalesce(length(flat), 0) AS n_syllables,
+  CASE WHEN label IS NOT NULL THEN 'anuṣṭubh' WHEN o.name IS NOT NULL THEN o.name WHEN mix IS NOT NULL THEN 'upajāti' WHEN h.name IS NOT NULL THEN h.name WHEN ok THEN 'āryā' END AS meter_name,
+  CASE WHEN label IS NOT NULL THEN label WHEN o.name IS NULL THEN mix END AS meter_detail
+FROM verses LEFT JOIN flats USING (id) LEFT JOIN an USING (id) LEFT JOIN jt USING (id) LEFT JOIN up USING (id) LEFT JOIN (SELECT * FROM v WHERE one) o USING (id) LEFT JOIN (SELECT * FROM v WHERE NOT one) h USING (id)""")
+def verse_scan(spark, sf_dir):
+    verses = spark.createDataFrame(VERSES, "id long, text string").union(table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return prosody.scan(verses)
+
+
+# --- junctions ------------------------------------------------------------------------------------------
+def _pairs(df: DataFrame, *keys: str) -> DataFrame:
+    cut = lines(df, *keys).withColumn("w", F.split("line", " "))
+    return cut.select(*keys, F.explode(F.expr("transform(sequence(1, greatest(size(w) - 1, 1)), i -> struct(w[i - 1] as a, get(w, i) as b))")).alias("p")).select(*keys, "p.a", "p.b").filter("b is not null")
+
+
+def _pairs_sql(t: str, key: str) -> str:
+    return f"{D.lines(t, key)}, lw AS (SELECT {key}, string_split(line, ' ') AS w FROM lines), every AS (SELECT {key}, w[i] AS a, w[i + 1] AS b FROM (SELECT {key}, w, unnest(range(1, len(w))) AS i FROM lw)), pairs AS (SELECT DISTINCT a, b FROM every)"
+
+
+@query(f"WITH {D.rules()}, {_pairs_sql('benchmark', 'item_id')}, {D.joined()} SELECT a, b, cand, joined, category FROM j")
+def sandhi_join_adjacent(spark, sf_dir):
+    return sandhi.join(_pairs(table(spark, sf_dir, "benchmark"), "item_id").select("a", "b").distinct())
+
+
+@query(f"WITH {D.rules()}, {_pairs_sql('documents', 'doc_id')}, {D.joined()} SELECT category, count(*) AS n FROM every JOIN j USING (a, b) WHERE cand = 1 GROUP BY category")
+def sandhi_category_counts(spark, sf_dir):
+    # the last two and the first letter decide; counting them first leaves few rows to join
+    p = _pairs(table(spark, sf_dir, "documents"), "doc_id").select(F.expr("right(a, 2)").alias("a"), F.expr("left(b, 1)").alias("b"))
+    n = p.groupBy("a", "b").agg(_n())
+    return sandhi.join(n).filter("cand = 1").groupBy("category").agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {D.rules()}, pairs AS (SELECT DISTINCT 'k' || first AS a, second || 'm' AS b FROM rules WHERE second <> ''), {D.joined()} SELECT category, count(*) AS n_pairs, count(DISTINCT joined) AS n_results FROM j WHERE cand = 1 GROUP BY category")
+def sandhi_rule_coverage(spark, sf_dir):
+    p = sandhi.rules(spark).filter("second <> ''").select(F.concat(F.lit("k"), "first").alias("a"), F.concat("second", F.lit("m")).alias("b")).distinct()
+    return sandhi.join(p).filter("cand = 1").groupBy("category").agg(F.count("*").alias("n_pairs"), F.countDistinct("joined").alias("n_results"))
+
+
+@query()
+def sandhi_split_short(spark, sf_dir):
+    w = words(table(spark, sf_dir, "benchmark"), "item_id").select("word").filter("length(word) <= 8").distinct()
+    return sandhi.split(w)
+
+
+# --- lexicon --------------------------------------------------------------------------------------------
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words(table(spark, sf_dir, "documents"), "doc_id").groupBy(F.col("word").alias("pada")).agg(F.count("*").alias("freq"))
+
+
+_LEX = f"{D.words('documents', 'doc_id')}, lex AS (SELECT word AS pada, count(*) AS freq FROM words GROUP BY 1)"
+
+
+@query(f"WITH {_LEX} SELECT pada, freq FROM lex")
+def lexicon_counts(spark, sf_dir):
+    return lexicon(spark, sf_dir)
+
+
+@query(f"WITH {_LEX} SELECT count(*) AS n_words, sum(freq)::BIGINT AS n_tokens, max(freq) AS top FROM lex")
+def lexicon_stats(spark, sf_dir):
+    return lexicon(spark, sf_dir).agg(F.count("*").alias("n_words"), F.sum("freq").alias("n_tokens"), F.max("freq").alias("top"))
+
+
+@query(f"WITH {_LEX} SELECT pada, freq FROM lex WHERE freq >= 2 ORDER BY freq DESC, pada LIMIT 6000")
+def lexicon_top(spark, sf_dir):
+    return lexicon(spark, sf_dir).filter("freq >= 2").orderBy(F.desc("freq"), "pada").limit(6000)
+
+
+@query(f"WITH {_LEX}, b AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(l, ' ')) AS w FROM (SELECT unnest(string_split({D.phonemes('text')}, chr(10))) AS l FROM benchmark)) WHERE w <> '') SELECT word, greatest(coalesce(x.freq, 0), coalesce(y.freq, 0)) AS freq FROM b LEFT JOIN lex x ON x.pada = word LEFT JOIN lex y ON y.pada = regexp_replace(word, '[sr]$', 'H')")
+def lexicon_pausa_probe(spark, sf_dir):
+    w = words(table(spark, sf_dir, "benchmark"), "item_id").select("word").distinct()
+    lex = lexicon(spark, sf_dir)
+    forms = w.select("word", F.explode(F.array_distinct(F.array("word", X.pausa(F.col("word"))))).alias("pada"))
+    return forms.join(lex, "pada", "left").groupBy("word").agg(F.coalesce(F.max("freq"), F.lit(0)).alias("freq"))
+
+
+@query(f"WITH {_LEX} SELECT pada, round(ln(freq) - ln((SELECT sum(freq) FROM lex)), 6) AS logp, round(ln(1 + freq) / ln(1 + (SELECT max(freq) FROM lex)), 6) AS share FROM lex")
+def lexicon_log_score(spark, sf_dir):
+    lex = lexicon(spark, sf_dir)
+    total = F.broadcast(lex.agg(F.sum("freq").alias("s"), F.max("freq").alias("m")))  # one row
+    return lex.crossJoin(total).select("pada", F.round(F.log("freq") - F.log("s"), 6).alias("logp"), F.round(F.log1p("freq") / F.log1p("m"), 6).alias("share"))
+
+
+# --- n-grams --------------------------------------------------------------------------------------------
+def _grams(df: DataFrame, *keys: str) -> DataFrame:
+    l = lines(df, *keys).withColumn("p", F.concat(F.lit("^^"), "line"))
+    return l.select(*keys, "pos", F.explode(F.expr("transform(sequence(1, length(line)), i -> struct(i as at, substring(p, i, 2) as ctx, substring(p, i + 2, 1) as ch))")).alias("g")).select(*keys, "pos", "g.*")
+
+
+def _grams_sql(t: str, key: str, name: str) -> str:
+    return D.lines(t, key).replace("slp AS", f"slp_{name} AS").replace("FROM slp)", f"FROM slp_{name})").replace("lines AS", f"lines_{name} AS") + f", {name} AS (SELECT {key}, pos, i AS at, substr('^^' || line, i, 2) AS ctx, substr('^^' || line, i + 2, 1) AS ch FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM lines_{name}))"
+
+
+@query(f"WITH {_grams_sql('documents', 'doc_id', 'g')} SELECT ctx, ch, count(*) AS n FROM g GROUP BY ctx, ch")
+def ngram_counts(spark, sf_dir):
+    return _grams(table(spark, sf_dir, "documents"), "doc_id").groupBy("ctx", "ch").agg(_n())
+
+
+@query(f"""WITH {_grams_sql('documents', 'doc_id', 'g')}, {_grams_sql('benchmark', 'item_id', 'b')},
+t3 AS (SELECT ctx, ch, count(*) AS n3 FROM g GROUP BY ALL), c3 AS (SELECT ctx, sum(n3) AS m3 FROM t3 GROUP BY ctx),
+t2 AS (SELECT right(ctx, 1) AS c1, ch, sum(n3) AS n2 FROM t3 GROUP BY ALL), c2 AS (SELECT c1, sum(n2) AS m2 FROM t2 GROUP BY c1),
+t1 AS (SELECT ch, sum(n3) AS n1 FROM t3 GROUP BY ch), tot AS (SELECT sum(n1) AS n, count(*) + 1 AS v FROM t1)
+SELECT item_id, round(avg(ln(0.7::DOUBLE * coalesce((coalesce(n3, 0) + 0.1::DOUBLE) / (m3 + 0.1::DOUBLE * v), 0) + 0.2::DOUBLE * coalesce((coalesce(n2, 0) + 0.1::DOUBLE) / (m2 + 0.1::DOUBLE * v), 0) + 0.1::DOUBLE * (coalesce(n1, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * v))), 6) AS logp
+FROM b LEFT JOIN t3 USING (ctx, ch) LEFT JOIN c3 USING (ctx) LEFT JOIN t2 ON c1 = right(ctx, 1) AND t2.ch = b.ch LEFT JOIN c2 ON c2.c1 = right(ctx, 1) LEFT JOIN t1 ON t1.ch = b.ch, tot GROUP BY item_id""")
+def trigram_logprob(spark, sf_dir):
+    t3 = _grams(table(spark, sf_dir, "documents"), "doc_id").groupBy("ctx", "ch").agg(F.count("*").alias("n3"))
+    g = _grams(table(spark, sf_dir, "benchmark"), "item_id").withColumn("c1", F.expr("right(ctx, 1)"))
+    t2 = t3.groupBy(F.expr("right(ctx, 1)").alias("c1"), "ch").agg(F.sum("n3").alias("n2"))
+    t1 = t3.groupBy("ch").agg(F.sum("n3").alias("n1"))
+    tot = t1.agg(F.sum("n1").alias("n"), (F.count("*") + 1).alias("v"))
+    g = g.join(t3, ["ctx", "ch"], "left").join(t3.groupBy("ctx").agg(F.sum("n3").alias("m3")), "ctx", "left").join(t2, ["c1", "ch"], "left").join(t2.groupBy("c1").agg(F.sum("n2").alias("m2")), "c1", "left").join(t1, "ch", "left").crossJoin(F.broadcast(tot))  # one row
+    p = lambda n, m: F.coalesce((F.coalesce(n, F.lit(0)) + F.lit(0.1)) / (F.col(m) + F.lit(0.1) * F.col("v")), F.lit(0.0))
+    prob = 0.7 * p("n3", "m3") + 0.2 * p("n2", "m2") + 0.1 * p("n1", "n")
+    return g.groupBy("item_id").agg(F.round(F.avg(F.log(prob)), 6).alias("logp"))
+
+
+# --- training data --------------------------------------------------------------------------------------
+_IDS = f"list_transform(regexp_extract_all(text, {D.q('(?s)' + D.alternatives(A.CONTROLS) + '|.')}), lambda t: coalesce(map_extract_value({D.mapping(A.VOCABULARY)}, t), {A.VOCABULARY['<unk>']}))"
+
+
+@query(f"SELECT item_id, array_to_string({_IDS}, ' ') AS ids FROM benchmark")
+def tokenizer_encode(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(X.encode(F.col("text")), lambda i: i.cast("string")), " ").alias("ids"))
+
+
+@query(f"SELECT item_id, array_to_string(list_filter(list_transform(regexp_extract_all({D.phonemes('text')}, '(?s).'), lambda t: CASE WHEN contains({D.q(A.CHARACTERS)}, t) THEN t END), lambda t: t IS NOT NULL), '') AS text FROM benchmark")
+def tokenizer_roundtrip(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", X.decode(X.encode(X.to_phonemes(F.col("text")))).alias("text"))
+
+
+_TURNS = "p AS (SELECT conv_id, turn, text AS src, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS tgt, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r2 FROM conversations), e AS (SELECT conv_id, turn, src, tgt FROM p WHERE role = 'user' AND r2 = 'assistant')"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("tgt", F.lead("text").over(w)).withColumn("r2", F.lead("role").over(w))
+    return c.filter("role = 'user' and r2 = 'assistant'").select("conv_id", "turn", F.col("text").alias("src"), "tgt")
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, length(src) + length(tgt) + 3 AS n_ids, length(src) + 2 AS loss_start, length(src) + length(tgt) + 3 <= 256 AS fits FROM e")
+def encode_examples(spark, sf_dir):
+    ids, start = X.encode_example(F.col("src"), F.col("tgt"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.size(ids).cast("long").alias("n_ids"), start.cast("long").alias("loss_start"), (F.size(ids) <= 256).alias("fits"))
+
+
+_BAG = "list_filter(string_split(regexp_replace(lower({}), '\\s+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+@query(f"""WITH {_TURNS}, s AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest({_BAG.format('src')}) AS w FROM e) GROUP BY ALL), t AS (SELECT conv_id, turn, w, count(*) AS m FROM (SELECT conv_id, turn, unnest({_BAG.format('tgt')}) AS w FROM e) GROUP BY ALL),
+c AS (SELECT conv_id, turn, sum(least(n, m)) AS tp FROM s JOIN t USING (conv_id, turn, w) GROUP BY ALL)
+SELECT e.conv_id, e.turn, CASE WHEN coalesce(tp, 0) = 0 THEN 0.0::DOUBLE ELSE round((2 * tp)::DOUBLE / (len({_BAG.format('src')}) + len({_BAG.format('tgt')})), 6) END AS f1 FROM e LEFT JOIN c USING (conv_id, turn)""")
+def word_f1_turns(spark, sf_dir):
+    bag = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"\s+", " "), " "), lambda x: x != "")
+    e = _turns(spark, sf_dir).select("conv_id", "turn", bag(F.col("src")).alias("s"), bag(F.col("tgt")).alias("t"))
+    side = lambda c, n: e.select("conv_id", "turn", F.explode(c).alias("w")).groupBy("conv_id", "turn", "w").agg(F.count("*").alias(n))
+    tp = side("s", "n").join(side("t", "m"), ["conv_id", "turn", "w"]).groupBy("conv_id", "turn").agg(F.sum(F.least("n", "m")).alias("tp"))
+    f1 = F.when(F.coalesce("tp", F.lit(0)) == 0, 0.0).otherwise(F.round((2 * F.col("tp")).cast("double") / (F.size("s") + F.size("t")), 6))
+    return e.join(tp, ["conv_id", "turn"], "left").select("conv_id", "turn", f1.alias("f1"))
+
+
+_SPLIT = "r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('1337:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents), s AS (SELECT doc_id, lang, CASE WHEN k <= greatest(1, floor(n * 0.05::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM r)"
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5 % of each language by hash. The order statistic comes from hash buckets, so that no language is sorted in one task."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5(F.concat(F.lit("1337:"), F.col("doc_id").cast("string"))).alias("h")).withColumn("b", F.substring("h", 1, 3))
+    bins = d.groupBy("lang", "b").agg(F.count("*").alias("c"))  # 4,096 a language, at most
+    w = Window.partitionBy("lang")
+    bins = bins.withColumn("before", F.coalesce(F.sum("c").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("val", F.greatest(F.lit(1), F.floor(F.sum("c").over(w) * F.lit(0.05))))
+    d = d.join(F.broadcast(bins.select(F.col("lang").alias("l"), F.col("b").alias("bb"), "before", "val")), F.col("lang").eqNullSafe(F.col("l")) & (F.col("b") == F.col("bb")))  # bounded as above
+    k = F.col("before") + F.row_number().over(Window.partitionBy("lang", "b").orderBy("h", "doc_id"))
+    return d.withColumn("k", k).select("doc_id", "lang", F.when(F.col("k") <= F.col("val"), "val").otherwise("train").alias("split"))
+
+
+@query(f"WITH {_SPLIT} SELECT doc_id, lang, split FROM s")
+def stratified_split(spark, sf_dir):
+    return _split(spark, sf_dir)
+
+
+@query(f"WITH {_SPLIT} SELECT coalesce(split, 'TOTAL') AS split, coalesce(lang, 'TOTAL') AS lang, count(*) AS n FROM s GROUP BY ROLLUP (split, lang)")
+def split_meta(spark, sf_dir):
+    return _split(spark, sf_dir).rollup("split", "lang").agg(_n()).select(F.coalesce("split", F.lit("TOTAL")).alias("split"), F.coalesce("lang", F.lit("TOTAL")).alias("lang"), "n")
+
+
+@query(f"""WITH {D.lines('documents', 'doc_id')}, m AS (SELECT doc_id, pos, line, greatest(2, round_even(length(line) * 0.15::DOUBLE, 0)::BIGINT) AS span FROM lines WHERE length(line) >= 8),
+a AS (SELECT *, ('0x' || left(md5('1337' || line), 8))::BIGINT % (length(line) - span + 1) AS cut FROM m)
+SELECT doc_id, pos, left(line, cut) || '[MASK_0]' || substr(line, cut + span + 1) AS src, substr(line, cut + 1, span) AS tgt FROM a""")
+def denoise_mask(spark, sf_dir):
+    l = lines(table(spark, sf_dir, "documents"), "doc_id").filter("length(line) >= 8")
+    src, tgt = X.mask_span(F.col("line"), "1337")
+    return l.select("doc_id", "pos", src.alias("src"), tgt.alias("tgt"))
+
+
+@query(f"""WITH {D.lines('documents', 'doc_id')}, w AS (SELECT doc_id, pos, string_split(line, ' ') AS ws FROM lines),
+x AS (SELECT doc_id, pos, i, ws[i : i + 2] AS win FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS i FROM w))
+SELECT doc_id, pos, i AS start, array_to_string(win, '') AS src, array_to_string(win, ' | ') AS tgt FROM x WHERE length(array_to_string(win, '')) <= 60""")
+def seg_windows(spark, sf_dir):
+    l = lines(table(spark, sf_dir, "documents"), "doc_id").withColumn("w", F.split("line", " ")).filter("size(w) >= 3")
+    x = l.select("doc_id", "pos", F.explode(F.expr("transform(sequence(1, size(w) - 2), i -> struct(i as start, slice(w, i, 3) as win))")).alias("x"))
+    x = x.select("doc_id", "pos", F.col("x.start").cast("long").alias("start"), F.array_join("x.win", "").alias("src"), F.array_join("x.win", " | ").alias("tgt"))
+    return x.filter("length(src) <= 60")
+
+
+@query(f"WITH {D.lines('documents', 'doc_id')}, b AS (SELECT DISTINCT unnest(string_split({D.phonemes('text')}, chr(10))) AS line FROM benchmark) SELECT doc_id, pos FROM lines ANTI JOIN b USING (line)")
+def decontaminate_lines(spark, sf_dir):
+    b = lines(table(spark, sf_dir, "benchmark"), "item_id").select("line").distinct()
+    return lines(table(spark, sf_dir, "documents"), "doc_id").join(b, "line", "left_anti").select("doc_id", "pos")
+
+
+@query(f"""WITH {_LEX}, l AS (SELECT doc_id, min(struct_pack(f := freq, n := -length(word), w := word)) AS m FROM words JOIN lex ON pada = word WHERE length(word) >= 3 GROUP BY doc_id),
+r AS (SELECT doc_id, m.w AS w, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM l), held AS (SELECT DISTINCT w FROM r WHERE k <= ceil(0.3::DOUBLE * n)),
+d AS (SELECT doc_id, bool_or(h.w IS NOT NULL) AS oov FROM words LEFT JOIN held h ON h.w = word GROUP BY doc_id)
+SELECT CASE WHEN g = 1 THEN 'all' WHEN oov THEN 'oov' ELSE 'in_lex' END AS bucket, n FROM (SELECT oov, grouping(oov) AS g, count(*) AS n FROM d GROUP BY GROUPING SETS ((oov), ()))""")
+def oov_report(spark, sf_dir):
+    w = words(table(spark, sf_dir, "documents"), "doc_id")
+    lex = w.groupBy("word").agg(F.count("*").alias("freq"))
+    rare = w.filter("length(word) >= 3").select("doc_id", "word").distinct().join(lex, "word").groupBy("doc_id").agg(F.min(F.struct("freq", -F.length("word"), "word")).alias("m"))
+    n = F.broadcast(rare.agg(F.count("*").alias("n")))  # one row
+    sites = rare.select("doc_id", F.col("m.word").alias("held"), F.md5(F.concat(F.lit("0:"), F.col("doc_id").cast("string"))).alias("h")).crossJoin(n)
+    b = Window.partitionBy("b").orderBy("h", "doc_id")
+    sites = sites.withColumn("b", F.substring("h", 1, 3))
+    bins = sites.groupBy("b").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")  # 4,096 rows, at most
+    held = sites.join(F.broadcast(bins), "b").filter("before < ceil(0.3 * n)").withColumn("k", F.col("before") + F.row_number().over(b)).filter("k <= ceil(cast(0.3 as double) * n)").select("held").distinct()
+    d = w.select("doc_id", "word").distinct().join(held, F.col("word") == F.col("held"), "left").groupBy("doc_id").agg(F.bool_or(F.col("held").isNotNull()).alias("oov"))
+    one = d.groupBy("oov").agg(_n()).select(F.when(F.col("oov"), "oov").otherwise("in_lex").alias("bucket"), "n")
+    return one.union(one.agg(F.lit("all").alias("bucket"), F.sum("n").alias("n")))
+
+
+@query("""SELECT least(levenshtein(a.text[:60], b.text[:60]), 40) AS lev, count(*) AS n FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 GROUP BY 1""")
+def edit_distance_hist(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("t2"))
+    lev = F.levenshtein(F.substring("text", 1, 60), F.substring("t2", 1, 60)).cast("long")
+    return b.join(nxt, "item_id").groupBy(F.least(lev, F.lit(40)).alias("lev")).agg(_n())
+
+
+@query("SELECT page_id, array_to_string(regexp_extract_all(html, '[À-ÿ]+'), ' ') AS runs FROM pages")
+def html_run_extract(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.regexp_extract_all("html", F.lit("[À-ÿ]+"), F.lit(0)), " ").alias("runs"))
+
+
+@query("SELECT event_type, (props::JSON->>'k')::BIGINT % 7 AS k, count(*) AS n FROM events GROUP BY ALL")
+def nested_json_lines(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k long"))
+    return e.groupBy("event_type", (F.col("p.k") % 7).alias("k")).agg(_n())
