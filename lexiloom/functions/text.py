@@ -24,13 +24,20 @@ def normalize_lines(c: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-ROMAN_TOKEN = f"(?s){_any(k for k in A.ROMAN if len(k) == 2)}|."
-
-
 def roman_to_phonemes(c: Column) -> Column:
-    """Lower-case, longest key first; breaks become line ends, anything unknown a blank."""
-    table = lookup(A.ROMAN | {b: "\n" for b in A.BREAKS} | {"\n": "\n"})
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(ROMAN_TOKEN), F.lit(0)), lambda t: F.coalesce(F.try_element_at(table, t), F.lit(" "))), "")
+    """Lower-case, longest key first; breaks become line ends, anything unknown a blank.
+
+    Keys of two letters never overlap, so they are replaced one after another; their capitals can't be taken
+    for input, which is lower case. One-letter keys go in a single pass, since some results are other keys.
+    """
+    x = F.lower(c)
+    for key, value in A.ROMAN.items():
+        if len(key) == 2:
+            x = F.replace(x, F.lit(key), F.lit(value))
+    single = {k: v for k, v in A.ROMAN.items() if len(k) == 1} | {b: "\n" for b in A.BREAKS}
+    single |= {k: " " for k in A.LETTERS if k.islower() and k not in single}
+    x = F.translate(x, "".join(single), "".join(single.values()))
+    return F.regexp_replace(x, f"[^{A.LETTERS}\n]", " ")
 
 
 def has_native(c: Column) -> Column:

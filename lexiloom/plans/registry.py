@@ -134,7 +134,7 @@ an AS (SELECT id, CASE WHEN length(flat) IN (16, 32) AND len(bad) = 0 AND len(li
 SELECT id AS doc_id, label FROM an WHERE label IS NOT NULL""")
 def anustubh_label(spark, sf_dir):
     flat = F.substring(F.array_join(F.transform(F.split(X.to_phonemes(F.coalesce("text", F.lit(""))), "\n"), X.weights), ""), 1, 32)
-    rows = table(spark, sf_dir, "documents").select("doc_id", flat.alias("flat"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(flat)).alias("flat"))  # a row of its own, so that what follows doesn't compute it again
     return rows.select("doc_id", prosody.anustubh(F.col("flat")).alias("label")).filter("label is not null")
 
 
@@ -272,8 +272,9 @@ def lexicon_log_score(spark, sf_dir):
 
 # --- n-grams --------------------------------------------------------------------------------------------
 def _grams(df: DataFrame, *keys: str) -> DataFrame:
-    l = lines(df, *keys).withColumn("p", F.concat(F.lit("^^"), "line"))
-    return l.select(*keys, "pos", F.explode(F.expr("transform(sequence(1, length(line)), i -> struct(i as at, substring(p, i, 2) as ctx, substring(p, i + 2, 1) as ch))")).alias("g")).select(*keys, "pos", "g.*")
+    # characters are cut once, then indexed
+    l = lines(df, *keys).withColumn("c", F.concat(F.expr("array('^', '^')"), F.split("line", "")))
+    return l.select(*keys, "pos", F.explode(F.expr("transform(sequence(1, size(c) - 2), i -> struct(i as at, c[i - 1] || c[i] as ctx, c[i + 1] as ch))")).alias("g")).select(*keys, "pos", "g.*")
 
 
 def _grams_sql(t: str, key: str, name: str) -> str:
@@ -432,3 +433,77 @@ def html_run_extract(spark, sf_dir):
 def nested_json_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k long"))
     return e.groupBy("event_type", (F.col("p.k") % 7).alias("k")).agg(_n())
+
+
+_ANCEPS = """vp AS (SELECT ord, name, p, length(pattern) - length(replace(pattern, '/', '')) = 0 AS one FROM (SELECT ord, name, pattern, unnest(string_split(pattern, '/')) AS p FROM meters)),
+cl AS (SELECT DISTINCT v, name, v = p AS exact, one FROM (SELECT name, p, one, unnest(CASE WHEN length(p) >= 8 THEN [p, left(p, length(p) - 1) || 'L', left(p, length(p) - 1) || 'G'] ELSE [p] END) AS v FROM vp)),
+c1 AS (SELECT * FROM cl QUALIFY exact = max(exact) OVER (PARTITION BY v)), c2 AS (SELECT * FROM c1 QUALIFY one = max(one) OVER (PARTITION BY v))"""
+
+
+@query(f"WITH {D.meters()}, {_ANCEPS} SELECT DISTINCT v AS weights, name FROM c2")
+def meter_claims(spark, sf_dir):
+    """Weight strings of quarters, the last syllable free from 8 on, with the names that have the strongest claim."""
+    m = prosody.meters(spark).select("name", "one", F.explode("patterns").alias("p"))
+    cut = F.expr("left(p, length(p) - 1)")
+    v = F.when(F.length("p") >= 8, F.array("p", F.concat(cut, F.lit("L")), F.concat(cut, F.lit("G")))).otherwise(F.array("p"))
+    c = m.select("name", "one", "p", F.explode(v).alias("weights")).select("weights", "name", "one", (F.col("p") == F.col("weights")).alias("exact"))
+    w = Window.partitionBy("weights")
+    c = c.withColumn("t", F.max("exact").over(w)).filter("exact = t")
+    return c.withColumn("t", F.max("one").over(w)).filter("one = t").select("weights", "name").distinct()
+
+
+# A few roots with their class and meaning.
+ROOTS = (("BU", "1", "sattAyAm"), ("gam", "1", "gatO"), ("kf", "8", "karaRe"), ("dA", "3", "dAne"), ("pac", "1", "pAke"), ("hA", "3", "tyAge"))
+
+
+@query(f"""WITH {D.values('roots', 'root, gana, artha', ROOTS)}, p AS (SELECT item_id, '<dhAtu>' || CASE item_id % 7 WHEN 0 THEN 'BU' WHEN 1 THEN 'gam' WHEN 2 THEN 'kf' WHEN 3 THEN 'dA' WHEN 4 THEN 'pac' WHEN 5 THEN 'hA' ELSE 'zzzq' END || '<gaRa>' || item_id % 9 AS raw FROM benchmark)
+SELECT item_id, regexp_extract(raw, '<dhAtu>([^<]*)', 1) AS root, r.root IS NOT NULL AS verified, coalesce(r.gana = regexp_extract(raw, '<gaRa>([^<]*)', 1), false) AS same_class FROM p LEFT JOIN roots r ON r.root = regexp_extract(raw, '<dhAtu>([^<]*)', 1)""")
+def root_verify(spark, sf_dir):
+    roots = spark.createDataFrame(ROOTS, "r string, gana string, artha string")
+    names = F.array(*[F.lit(r[0]) for r in ROOTS], F.lit("zzzq"))
+    p = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("<dhAtu>"), F.get(names, F.col("item_id") % 7), F.lit("<gaRa>"), (F.col("item_id") % 9).cast("string")).alias("raw"))
+    p = p.select("item_id", X.field(F.col("raw"), "<dhAtu>").alias("root"), X.field(F.col("raw"), "<gaRa>").alias("g"))
+    hit = p.join(F.broadcast(roots), F.col("root") == F.col("r"), "left")  # a fixed table
+    return hit.select("item_id", "root", F.col("r").isNotNull().alias("verified"), F.coalesce(F.col("gana") == F.col("g"), F.lit(False)).alias("same_class"))
+
+
+@query(f"""WITH {_LEX}, top AS (SELECT max(freq) AS m FROM lex), c AS (SELECT item_id, 1 AS cand, w AS ws FROM (SELECT item_id, string_split(replace({D.phonemes('text')}, chr(10), ' '), ' ') AS w FROM benchmark)
+UNION ALL SELECT item_id, 2, list_transform(range(1, len(w) + 1, 2), lambda i: w[i] || coalesce(w[i + 1], '')) FROM (SELECT item_id, string_split(replace({D.phonemes('text')}, chr(10), ' '), ' ') AS w FROM benchmark)),
+x AS (SELECT item_id, cand, unnest(ws) AS w FROM c), s AS (
+SELECT item_id, cand, count(*) AS n, avg((freq IS NOT NULL)::INT) AS cov, sum(ln(1 + coalesce(freq, 0))) / (count(*) * ln(1 + any_value(m))) AS fw, count_if(freq IS NULL) AS oov FROM x LEFT JOIN lex ON pada = w, top GROUP BY ALL)
+SELECT item_id, cand, round(4.0::DOUBLE * cov + 0.5::DOUBLE * fw - 0.6::DOUBLE * oov - 0.05::DOUBLE * n, 5) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(4.0::DOUBLE * cov + 0.5::DOUBLE * fw - 0.6::DOUBLE * oov - 0.05::DOUBLE * n, 5) DESC, cand) AS rank FROM s""")
+def candidate_rank(spark, sf_dir):
+    """Two segmentations of each text, scored by coverage, frequency, unknown words and length."""
+    w = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.replace(X.to_phonemes(F.col("text")), F.lit("\n"), F.lit(" ")), " ").alias("w"))
+    pairs = F.expr("transform(sequence(1, size(w), 2), i -> concat(w[i - 1], coalesce(get(w, i), '')))")
+    c = w.select("item_id", F.posexplode(F.array("w", pairs)).alias("cand", "ws")).select("item_id", (F.col("cand") + 1).cast("long").alias("cand"), F.explode("ws").alias("pada"))
+    lex = lexicon(spark, sf_dir)
+    top = F.broadcast(lex.agg(F.max("freq").alias("m")))  # one row
+    s = c.join(lex, "pada", "left").crossJoin(top).groupBy("item_id", "cand").agg(F.count("*").alias("n"), F.avg(F.col("freq").isNotNull().cast("int")).alias("cov"), (F.sum(F.log1p(F.coalesce("freq", F.lit(0)))) / (F.count("*") * F.log1p(F.first("m")))).alias("fw"), F.count_if(F.col("freq").isNull()).alias("oov"))
+    s = s.select("item_id", "cand", F.round(4.0 * F.col("cov") + 0.5 * F.col("fw") - 0.6 * F.col("oov") - 0.05 * F.col("n"), 5).alias("score"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "cand")).cast("long"))
+
+
+@query()
+def kbest_segment(spark, sf_dir):
+    """The best covers of fused word pairs by the lexicon; a pair without one keeps its text, as its own tier."""
+    import pandas as pd
+
+    bench = words(table(spark, sf_dir, "benchmark"), "item_id").select("word").distinct()
+    lex = lexicon(spark, sf_dir)
+    lex = lex.join(bench.withColumnRenamed("word", "pada"), "pada", "left_semi")  # words of the benchmark texts only
+    known = {r["pada"]: r["lp"] for r in lex.select("pada", F.log("freq").alias("lp")).collect()}
+    shared = spark.sparkContext.broadcast(known)  # at most the words of the benchmark texts
+    table_ = [(f, s, r) for _, f, s, r, _ in sandhi.RULES]
+    fused = sandhi.join(_pairs(table(spark, sf_dir, "benchmark"), "item_id").select("a", "b").distinct()).filter("cand = 1")
+    fused = fused.select(F.replace("joined", F.lit(" "), F.lit("")).alias("src")).filter("length(src) <= 40").distinct()
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for src in pdf["src"]:
+                best = sandhi.kbest(src, shared.value, table_)
+                rows += [(src, k + 1, "|".join(ws), round(sc, 6), "lexicon") for k, (sc, ws) in enumerate(best)] or [(src, 1, src, 0.0, "fallback")]
+            yield pd.DataFrame(rows, columns=["src", "cand", "padas", "score", "tier"])
+
+    return fused.mapInPandas(run, "src string, cand long, padas string, score double, tier string")
