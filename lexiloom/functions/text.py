@@ -20,7 +20,7 @@ def lookup(table: dict[str, str]) -> Column:
 
 def normalize_lines(c: Column) -> Column:
     """Collapse blanks in each line and drop empty lines."""
-    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    lines = F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s{2,}|[^\S ]", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -37,7 +37,7 @@ def roman_to_phonemes(c: Column) -> Column:
     single = {k: v for k, v in A.ROMAN.items() if len(k) == 1} | {b: "\n" for b in A.BREAKS}
     single |= {k: " " for k in A.LETTERS if k.islower() and k not in single}
     x = F.translate(x, "".join(single), "".join(single.values()))
-    return F.regexp_replace(x, f"[^{A.LETTERS}\n]", " ")
+    return F.regexp_replace(x, f"[^{A.LETTERS}\n ]", " ")  # matches are what costs, so blanks are none
 
 
 def has_native(c: Column) -> Column:

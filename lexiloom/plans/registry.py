@@ -41,7 +41,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents":
+        # a table in fewer pieces than there are cores is dealt out first; large tables never are
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.select("doc_id", "text", "lang").repartition(cores)
+    return df
 
 
 def lines(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
