@@ -2,8 +2,9 @@
 
 Rows are normalised and digested by SQL functions. Each task fills a memtable with
 (digest, best row, count), keeping one entry a digest; a full memtable is flushed as sorted runs,
-one a shard, each with a Bloom filter. Compaction merges the runs of a shard: a run's digests that
-no other run's filter holds pass through, the others are merged by a sort that keeps the best row.
+one a shard, each with a Bloom filter. Compaction merges the runs of a shard in tiers of FAN, so that its
+work doesn't grow with the square of the runs, which are as many as the tasks: runs below SMALL entries are merged outright; in
+a tier, a run's digests that no other run's filter holds pass through, the others are merged by a sort that keeps the best row.
 Rows that the index reports as copies are compared byte by byte with the row that stays.
 
 Defined results: null text is empty text, and empty texts form one group. Ties in length go to the
@@ -26,6 +27,8 @@ from .common import materialize, read, small
 
 SPACE = r"[\x20\x09-\x0D]+"
 MEMTABLE = 200_000
+FAN = 8  # runs that a tier compares
+SMALL = 4096  # entries below which filters don't pay
 RUN = "shard int, n long, digests binary, lens binary, ids binary, counts binary, bloom binary"
 ENTRY = "digest binary, keep_id long, group_size long"
 _PROBES = 5
@@ -93,21 +96,49 @@ def _flush(shards: int):
     return run
 
 
-def _compact(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Merge the runs of one shard."""
-    runs = [(np.frombuffer(r.digests, np.uint64).reshape(-1, 4), *(np.frombuffer(x, np.int64) for x in (r.lens, r.ids, r.counts))) for r in pdf.itertuples()]
+def _gather(runs: list[tuple]) -> Iterator[tuple]:
+    """(entries, filter) of runs with at least SMALL entries; smaller neighbours are merged first."""
+    held, n = [], 0
+    for k, (entries, bloom) in enumerate(runs):
+        held.append((entries, bloom))
+        n += len(entries[1])
+        if n >= SMALL or k == len(runs) - 1:
+            if len(held) > 1:
+                entries = _merge(*(np.concatenate(x) for x in zip(*(e for e, _ in held), strict=True)))
+                bloom = _bloom(entries[0])
+            yield entries, bloom
+            held, n = [], 0
+
+
+def _tier(runs: list[tuple]) -> tuple:
+    """One run out of several."""
+    if len(runs) == 1:
+        return runs[0]
     alone, meet = [], []
-    for k, run in enumerate(runs):
-        seen = np.zeros(len(run[0]), bool)
-        for j, bloom in enumerate(pdf["bloom"]):
+    for k, (entries, _) in enumerate(runs):
+        seen = np.zeros(len(entries[1]), bool)
+        for j, (_, bloom) in enumerate(runs):
             if j != k:
                 rest = np.flatnonzero(~seen)
-                seen[rest] = _holds(bloom, run[0][rest])
-        alone.append(tuple(x[~seen] for x in run))
-        meet.append(tuple(x[seen] for x in run))
+                seen[rest] = _holds(bloom, entries[0][rest])
+        alone.append(tuple(x[~seen] for x in entries))
+        meet.append(tuple(x[seen] for x in entries))
     parts = [*alone, _merge(*(np.concatenate(x) for x in zip(*meet, strict=True)))]
-    raw = np.concatenate([p[0] for p in parts]).astype(">u8").tobytes()
-    return pd.DataFrame({"digest": [raw[i : i + 32] for i in range(0, len(raw), 32)], "keep_id": np.concatenate([p[2] for p in parts]), "group_size": np.concatenate([p[3] for p in parts])})
+    entries = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort(entries[0].T[::-1])
+    entries = tuple(x[order] for x in entries)
+    return entries, _bloom(entries[0])
+
+
+def _compact(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Merge the runs of one shard."""
+    runs = [((np.frombuffer(r.digests, np.uint64).reshape(-1, 4), *(np.frombuffer(x, np.int64) for x in (r.lens, r.ids, r.counts))), r.bloom) for r in pdf.itertuples()]
+    runs = list(_gather(runs))
+    while len(runs) > 1:
+        runs = [_tier(runs[k : k + FAN]) for k in range(0, len(runs), FAN)]
+    digests, _, ids, counts = runs[0][0]
+    raw = digests.astype(">u8").tobytes()
+    return pd.DataFrame({"digest": [raw[i : i + 32] for i in range(0, len(raw), 32)], "keep_id": ids, "group_size": counts})
 
 
 #: Stands for a null id inside the index, after every id.

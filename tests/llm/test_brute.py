@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -293,3 +294,23 @@ def test_pipeline(spark, docs):
             assert all(0 < t <= 2 * s == 2 * len(re.findall(TOKEN, kept[i])) for i, (t, s) in taken.items())
         assert k == 4 or at.columns == columns
         kept = {i: docs[i] for i in ids}
+
+
+def test_compaction_tiers(monkeypatch):
+    """Many small and large runs of one shard give what a plain count gives."""
+    monkeypatch.setattr(exact_dedup, "SMALL", 20)
+    monkeypatch.setattr(exact_dedup, "FAN", 3)
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**63, (300, 4)).astype(np.uint64)
+    rows, best, count = [], {}, {}
+    for n in (1, 1, 3, 50, 2, 90, 40, 1, 70, 25, 60, 5):
+        at = np.sort(rng.choice(300, n, replace=False))
+        digests, lens, ids = pool[at], rng.integers(0, 4, n), rng.integers(0, 10_000, n)
+        for d, x, i in zip(digests, lens, ids, strict=True):
+            key = d.astype(">u8").tobytes()
+            best[key] = min(best.get(key, (9, 0)), (-int(x), int(i)))
+            count[key] = count.get(key, 0) + 1
+        merged = exact_dedup._merge(digests, lens, ids, np.ones(n, np.int64))
+        rows.append({"shard": 0, "n": n, "digests": merged[0].tobytes(), "lens": merged[1].tobytes(), "ids": merged[2].tobytes(), "counts": merged[3].tobytes(), "bloom": exact_dedup._bloom(merged[0])})
+    got = exact_dedup._compact(pd.DataFrame(rows))
+    assert {r.digest: (r.keep_id, r.group_size) for r in got.itertuples()} == {k: (best[k][1], n) for k, n in count.items()}
