@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the
-last adds what the mix takes of each document.
+last adds what the mix takes of each document. doc_id names a document: rows that share one are repeats of it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from lexiloom.llm.common import bucket, materialize, read, small
 
 #: A document without a language of at least this share is rejected, as is one without letters.
 MIN_SHARE = 1 / 3
+#: Near duplicates share at least so many hundredths of their five-word shingles.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near.near_dedup(docs))
+    return _without(docs, near.near_dedup(docs, NEAR_PERCENT))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

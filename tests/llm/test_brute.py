@@ -29,7 +29,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
 
 
-def groups(sets):
+def groups(sets, percent=85):
     parent = {i: i for i in sets}
 
     def find(x):
@@ -41,7 +41,7 @@ def groups(sets):
     for k, i in enumerate(ids):
         for j in ids[:k]:
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}
@@ -285,7 +285,7 @@ def test_pipeline(spark, docs):
                 best[key] = min(best.get(key, (0, i)), (-len(t or ""), i))
             assert ids == {i for _, i in best.values()}
         elif name == "near_dedup":
-            assert ids == {i for i, g in groups({i: shingles(t) for i, t in kept.items()}).items() if i == g}
+            assert ids == {i for i, g in groups({i: shingles(t) for i, t in kept.items()}, 80).items() if i == g}
         elif name == "decontaminate":
             hit = lambda t: any(tuple(w[k : k + n]) in windows for w in [re.findall(WORD, t.translate(LOW))] for n in range(1, 11) for k in range(len(w) - n + 1))
             assert ids == {i for i, t in kept.items() if not hit(t)}
