@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import text as X
+from ..operators import lexicon as L
 from ..operators import prosody, sandhi
 from ..sources.meters import GANAS, ROWS
 from . import duck as D
@@ -276,6 +277,15 @@ def lexicon_log_score(spark, sf_dir):
     return lex.crossJoin(total).select("pada", F.round(F.log("freq") - F.log("s"), 6).alias("logp"), F.round(F.log1p("freq") / F.log1p("m"), 6).alias("share"))
 
 
+@query(f"""WITH RECURSIVE {_LEX}, rare AS (SELECT pada AS w, length(pada) AS n FROM lex WHERE freq <= 10 AND length(pada) >= 8),
+st AS (SELECT w, n, unnest(range(0, n)) AS i FROM rare), pt AS (SELECT w, i, unnest(range(i + 1, least(n, i + 30) + 1)) AS j FROM st),
+e AS (SELECT w, i, j FROM pt JOIN lex ON pada = substr(w, i + 1, j - i) WHERE freq >= 50 AND pada <> w),
+r AS (SELECT w, 0::BIGINT AS pos FROM rare UNION SELECT r.w, e.j FROM r JOIN e ON e.w = r.w AND e.i = r.pos)
+SELECT pada, freq FROM lex WHERE pada NOT IN (SELECT r.w FROM r JOIN rare USING (w) WHERE pos = n)""")
+def lexicon_prune(spark, sf_dir):
+    return L.prune(lexicon(spark, sf_dir))
+
+
 # --- n-grams --------------------------------------------------------------------------------------------
 def _grams(df: DataFrame, *keys: str) -> DataFrame:
     # characters are cut once, then indexed
@@ -403,25 +413,51 @@ def decontaminate_lines(spark, sf_dir):
     return lines(table(spark, sf_dir, "documents"), "doc_id").join(b, "line", "left_anti").select("doc_id", "pos")
 
 
-@query(f"""WITH {_LEX}, l AS (SELECT doc_id, min(struct_pack(f := freq, n := -length(word), w := word)) AS m FROM words JOIN lex ON pada = word WHERE length(word) >= 3 GROUP BY doc_id),
-r AS (SELECT doc_id, m.w AS w, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM l), held AS (SELECT DISTINCT w FROM r WHERE k <= ceil(0.3::DOUBLE * n)),
-d AS (SELECT doc_id, bool_or(h.w IS NOT NULL) AS oov FROM words LEFT JOIN held h ON h.w = word GROUP BY doc_id)
-SELECT CASE WHEN g = 1 THEN 'all' WHEN oov THEN 'oov' ELSE 'in_lex' END AS bucket, n FROM (SELECT oov, grouping(oov) AS g, count(*) AS n FROM d GROUP BY GROUPING SETS ((oov), ()))""")
-def oov_report(spark, sf_dir):
-    w = words(table(spark, sf_dir, "documents"), "doc_id")
-    lex = w.groupBy("word").agg(F.count("*").alias("freq"))
+_HELD = f"""{_LEX}, l AS (SELECT doc_id, min(struct_pack(f := freq, n := -length(word), w := word)) AS m FROM words JOIN lex ON pada = word WHERE length(word) >= 3 GROUP BY doc_id),
+r AS (SELECT doc_id, m.w AS w, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM l), held AS (SELECT DISTINCT w FROM r WHERE k <= ceil(0.3::DOUBLE * n))"""
+
+
+def _held(w: DataFrame, lex: DataFrame) -> DataFrame:
+    """(held): the rarest word of each of 30 % of the documents, by hash."""
     rare = w.filter("length(word) >= 3").select("doc_id", "word").distinct().join(lex, "word").groupBy("doc_id").agg(F.min(F.struct("freq", -F.length("word"), "word")).alias("m"))
     n = F.broadcast(rare.agg(F.count("*").alias("n")))  # one row
     sites = rare.select("doc_id", F.col("m.word").alias("held"), F.md5(F.concat(F.lit("0:"), F.col("doc_id").cast("string"))).alias("h")).crossJoin(n)
     b = Window.partitionBy("b").orderBy("h", "doc_id")
     sites = sites.withColumn("b", F.substring("h", 1, 3))
     bins = sites.groupBy("b").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")  # 4,096 rows, at most
-    held = sites.join(F.broadcast(bins), "b").filter("before < ceil(0.3 * n)").withColumn("k", F.col("before") + F.row_number().over(b)).filter("k <= ceil(cast(0.3 as double) * n)").select("held").distinct()
+    return sites.join(F.broadcast(bins), "b").filter("before < ceil(0.3 * n)").withColumn("k", F.col("before") + F.row_number().over(b)).filter("k <= ceil(cast(0.3 as double) * n)").select("held").distinct()
+
+
+@query(f"""WITH {_HELD},
+d AS (SELECT doc_id, bool_or(h.w IS NOT NULL) AS oov FROM words LEFT JOIN held h ON h.w = word GROUP BY doc_id)
+SELECT CASE WHEN g = 1 THEN 'all' WHEN oov THEN 'oov' ELSE 'in_lex' END AS bucket, n FROM (SELECT oov, grouping(oov) AS g, count(*) AS n FROM d GROUP BY GROUPING SETS ((oov), ()))""")
+def oov_report(spark, sf_dir):
+    w = words(table(spark, sf_dir, "documents"), "doc_id")
+    held = _held(w, w.groupBy("word").agg(F.count("*").alias("freq")))
     d = w.select("doc_id", "word").distinct().join(held, F.col("word") == F.col("held"), "left").groupBy("doc_id").agg(F.bool_or(F.col("held").isNotNull()).alias("oov"))
     one = d.groupBy("oov").agg(_n()).select(F.when(F.col("oov"), "oov").otherwise("in_lex").alias("bucket"), "n")
     return one.union(one.agg(F.lit("all").alias("bucket"), F.sum("n").alias("n")))
 
 
+@query(f"""WITH {_HELD}, bw AS (SELECT string_split(l, ' ') AS ws FROM (SELECT unnest(string_split({D.phonemes('text')}, chr(10))) AS l FROM benchmark) WHERE l <> ''),
+bp AS (SELECT ws[i] AS a, ws[i + 1] AS b FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM bw)), ab AS (SELECT pada FROM lex ANTI JOIN held ON w = pada),
+t AS (SELECT CASE WHEN a IN (SELECT pada FROM ab) AND b IN (SELECT pada FROM ab) THEN 'lexicon' ELSE 'fallback' END AS tier, CASE WHEN a IN (SELECT w FROM held) OR b IN (SELECT w FROM held) THEN 'oov' ELSE 'in_lex' END AS bucket FROM bp)
+SELECT tier, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, count(*) AS n FROM t GROUP BY GROUPING SETS ((tier), (tier, bucket))""")
+def oov_tier_report(spark, sf_dir):
+    """Pairs of neighbours in the benchmark texts by tier (both in the lexicon less the held words, or not) and by whether one is held."""
+    w = words(table(spark, sf_dir, "documents"), "doc_id")
+    lex = w.groupBy("word").agg(F.count("*").alias("freq"))
+    flags = lex.select("word").join(_held(w, lex), F.col("word") == F.col("held"), "left").select("word", F.col("held").isNotNull().alias("is_held"))
+    p = _pairs(table(spark, sf_dir, "benchmark"), "item_id").groupBy("a", "b").agg(_n())
+    for k in ("a", "b"):
+        p = p.join(flags.select(F.col("word").alias(k), F.col("is_held").alias(f"held_{k}")), k, "left")
+    known = lambda k: F.coalesce(~F.col(f"held_{k}"), F.lit(False))
+    held = lambda k: F.coalesce(F.col(f"held_{k}"), F.lit(False))
+    t = p.select(F.when(known("a") & known("b"), "lexicon").otherwise("fallback").alias("tier"), F.when(held("a") | held("b"), "oov").otherwise("in_lex").alias("bucket"), "n")
+    t = t.groupBy("tier", "bucket").agg(F.sum("n").alias("n"))
+    return t.unionByName(t.groupBy("tier").agg(F.lit("all").alias("bucket"), F.sum("n").alias("n")))
+
+
 @query("""SELECT least(levenshtein(a.text[:60], b.text[:60]), 40) AS lev, count(*) AS n FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 GROUP BY 1""")
 def edit_distance_hist(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
@@ -473,23 +509,47 @@ def root_verify(spark, sf_dir):
     return hit.select("item_id", "root", F.col("r").isNotNull().alias("verified"), F.coalesce(F.col("gana") == F.col("g"), F.lit(False)).alias("same_class"))
 
 
-@query(f"""WITH {_LEX}, top AS (SELECT max(freq) AS m FROM lex), c AS (SELECT item_id, 1 AS cand, w AS ws FROM (SELECT item_id, string_split(replace({D.phonemes('text')}, chr(10), ' '), ' ') AS w FROM benchmark)
+_CANDIDATES = f"""{_LEX}, top AS (SELECT max(freq) AS m FROM lex), c AS (SELECT item_id, 1 AS cand, w AS ws FROM (SELECT item_id, string_split(replace({D.phonemes('text')}, chr(10), ' '), ' ') AS w FROM benchmark)
 UNION ALL SELECT item_id, 2, list_transform(range(1, len(w) + 1, 2), lambda i: w[i] || coalesce(w[i + 1], '')) FROM (SELECT item_id, string_split(replace({D.phonemes('text')}, chr(10), ' '), ' ') AS w FROM benchmark)),
 x AS (SELECT item_id, cand, unnest(ws) AS w FROM c), s AS (
-SELECT item_id, cand, count(*) AS n, avg((freq IS NOT NULL)::INT) AS cov, sum(ln(1 + coalesce(freq, 0))) / (count(*) * ln(1 + any_value(m))) AS fw, count_if(freq IS NULL) AS oov FROM x LEFT JOIN lex ON pada = w, top GROUP BY ALL)
-SELECT item_id, cand, round(4.0::DOUBLE * cov + 0.5::DOUBLE * fw - 0.6::DOUBLE * oov - 0.05::DOUBLE * n, 5) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(4.0::DOUBLE * cov + 0.5::DOUBLE * fw - 0.6::DOUBLE * oov - 0.05::DOUBLE * n, 5) DESC, cand) AS rank FROM s""")
-def candidate_rank(spark, sf_dir):
-    """Two segmentations of each text, scored by coverage, frequency, unknown words and length."""
+SELECT item_id, cand, count(*) AS n, avg((freq IS NOT NULL)::INT) AS cov, sum(ln(1 + coalesce(freq, 0))) / (count(*) * ln(1 + any_value(m))) AS fw, count_if(freq IS NULL) AS oov FROM x LEFT JOIN lex ON pada = w, top GROUP BY ALL)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of each text with coverage, frequency, unknown words and length."""
     w = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.replace(X.to_phonemes(F.col("text")), F.lit("\n"), F.lit(" ")), " ").alias("w"))
     pairs = F.expr("transform(sequence(1, size(w), 2), i -> concat(w[i - 1], coalesce(get(w, i), '')))")
     c = w.select("item_id", F.posexplode(F.array("w", pairs)).alias("cand", "ws")).select("item_id", (F.col("cand") + 1).cast("long").alias("cand"), F.explode("ws").alias("pada"))
     lex = lexicon(spark, sf_dir)
     top = F.broadcast(lex.agg(F.max("freq").alias("m")))  # one row
-    s = c.join(lex, "pada", "left").crossJoin(top).groupBy("item_id", "cand").agg(F.count("*").alias("n"), F.avg(F.col("freq").isNotNull().cast("int")).alias("cov"), (F.sum(F.log1p(F.coalesce("freq", F.lit(0)))) / (F.count("*") * F.log1p(F.first("m")))).alias("fw"), F.count_if(F.col("freq").isNull()).alias("oov"))
+    return c.join(lex, "pada", "left").crossJoin(top).groupBy("item_id", "cand").agg(F.count("*").alias("n"), F.avg(F.col("freq").isNotNull().cast("int")).alias("cov"), (F.sum(F.log1p(F.coalesce("freq", F.lit(0)))) / (F.count("*") * F.log1p(F.first("m")))).alias("fw"), F.count_if(F.col("freq").isNull()).alias("oov"))
+
+
+@query(f"""WITH {_CANDIDATES}
+SELECT item_id, cand, round(4.0::DOUBLE * cov + 0.5::DOUBLE * fw - 0.6::DOUBLE * oov - 0.05::DOUBLE * n, 5) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(4.0::DOUBLE * cov + 0.5::DOUBLE * fw - 0.6::DOUBLE * oov - 0.05::DOUBLE * n, 5) DESC, cand) AS rank FROM s""")
+def candidate_rank(spark, sf_dir):
+    s = _candidates(spark, sf_dir)
     s = s.select("item_id", "cand", F.round(4.0 * F.col("cov") + 0.5 * F.col("fw") - 0.6 * F.col("oov") - 0.05 * F.col("n"), 5).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "cand")).cast("long"))
 
 
+# Weights of coverage, frequency, unknown words and length; an arm leaves out all but some.
+ARMS = (("coverage", 4.0, 0.0, 0.0, 0.0), ("frequency", 0.0, 0.5, 0.0, 0.0), ("unknown", 0.0, 0.0, 0.6, 0.0), ("length", 0.0, 0.0, 0.0, 0.05), ("all", 4.0, 0.5, 0.6, 0.05))
+
+
+@query(f"""WITH {_CANDIDATES}, {D.values('arms', 'arm, p, q, r, t', ARMS)},
+sc AS (SELECT arm, item_id, cand, n, oov, round(p::DOUBLE * cov + q::DOUBLE * fw - r::DOUBLE * oov - t::DOUBLE * n, 5) AS score FROM s, arms),
+best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY arm, item_id ORDER BY score DESC, cand) = 1)
+SELECT arm, count(*) AS n_items, count_if(cand = 1)::BIGINT AS n_exact, sum(n)::BIGINT AS n_words, sum(oov)::BIGINT AS n_unknown FROM best GROUP BY arm""")
+def ranking_ablation(spark, sf_dir):
+    """Each arm's choice among the candidates, the first of equal ones; exact is the text as it was written."""
+    arms = F.array(*[F.struct(F.lit(a).alias("arm"), *[F.lit(x).alias(k) for k, x in zip("pqrt", w, strict=True)]) for a, *w in ARMS])
+    s = _candidates(spark, sf_dir).select("*", F.explode(arms).alias("a"))
+    score = F.round(F.col("a.p") * F.col("cov") + F.col("a.q") * F.col("fw") - F.col("a.r") * F.col("oov") - F.col("a.t") * F.col("n"), 5)
+    best = s.groupBy("a.arm", "item_id").agg(F.max_by(F.struct("cand", "n", "oov"), F.struct(score, -F.col("cand"))).alias("b"))
+    return best.groupBy("arm").agg(F.count("*").alias("n_items"), F.count_if(F.col("b.cand") == 1).alias("n_exact"), F.sum("b.n").alias("n_words"), F.sum("b.oov").alias("n_unknown"))
+
+
 @query()
 def kbest_segment(spark, sf_dir):
     """The best covers of fused word pairs by the lexicon; a pair without one keeps its text, as its own tier."""

@@ -110,3 +110,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["w"] for r in spark.sql("select * from lines order by pos").collect()] == ["GG", "GL"]
+
+
+def test_prune(spark):
+    """Against a search over all covers: fused words go, those with an unknown rest or a rare part stay."""
+    from lexiloom.operators import lexicon
+
+    lex = {"rama": 60, "gacchati": 70, "ramagacchati": 2, "ramagacchatix": 2, "gacchatirama": 11, "vanamrama": 3, "vanam": 49, "a": 500, "aaaaaaaa": 5, "aaaaaaab": 5, "rama" * 40: 1, "short": 1, "gacchatigacchati": 10}
+
+    def covered(w, at=0):
+        return at == len(w) or any(lex.get(w[at:e], 0) >= 50 and w[at:e] != w and covered(w, e) for e in range(at + 1, min(len(w), at + 30) + 1))
+
+    got = lexicon.prune(spark.createDataFrame(list(lex.items()), "pada string, freq long"))
+    assert {r["pada"] for r in got.collect()} == {w for w, n in lex.items() if n > 10 or len(w) < 8 or not covered(w)}
+    assert lexicon.prune(spark.createDataFrame([], "pada string, freq long")).count() == 0
