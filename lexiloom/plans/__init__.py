@@ -1 +1,3 @@
 
+
+from . import boundaries  # noqa: F401  adds its queries

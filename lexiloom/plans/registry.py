@@ -234,9 +234,9 @@ def sandhi_rule_coverage(spark, sf_dir):
 
 
 @query()
-def sandhi_split_short(spark, sf_dir):
-    w = words(table(spark, sf_dir, "benchmark"), "item_id").select("word").filter("length(word) <= 8").distinct()
-    return sandhi.split(w)
+def sandhi_split(spark, sf_dir):
+    """The 20 first splits of every word."""
+    return sandhi.split(words(table(spark, sf_dir, "benchmark"), "item_id").select("word").distinct())
 
 
 # --- lexicon --------------------------------------------------------------------------------------------
@@ -287,10 +287,14 @@ def lexicon_prune(spark, sf_dir):
 
 
 # --- n-grams --------------------------------------------------------------------------------------------
+def grams_of(l: DataFrame, *keys: str) -> DataFrame:
+    """(keys, at, ctx, ch) of ``line``. Characters are cut once, then indexed."""
+    l = l.withColumn("c", F.concat(F.expr("array('^', '^')"), F.split("line", ""))).filter("line <> ''")
+    return l.select(*keys, F.explode(F.expr("transform(sequence(1, size(c) - 2), i -> struct(i as at, c[i - 1] || c[i] as ctx, c[i + 1] as ch))")).alias("g")).select(*keys, "g.*")
+
+
 def _grams(df: DataFrame, *keys: str) -> DataFrame:
-    # characters are cut once, then indexed
-    l = lines(df, *keys).withColumn("c", F.concat(F.expr("array('^', '^')"), F.split("line", "")))
-    return l.select(*keys, "pos", F.explode(F.expr("transform(sequence(1, size(c) - 2), i -> struct(i as at, c[i - 1] || c[i] as ctx, c[i + 1] as ch))")).alias("g")).select(*keys, "pos", "g.*")
+    return grams_of(lines(df, *keys), *keys, "pos")
 
 
 def _grams_sql(t: str, key: str, name: str) -> str:
@@ -309,15 +313,24 @@ t1 AS (SELECT ch, sum(n3) AS n1 FROM t3 GROUP BY ch), tot AS (SELECT sum(n1) AS
 SELECT item_id, round(avg(ln(0.7::DOUBLE * coalesce((coalesce(n3, 0) + 0.1::DOUBLE) / (m3 + 0.1::DOUBLE * v), 0) + 0.2::DOUBLE * coalesce((coalesce(n2, 0) + 0.1::DOUBLE) / (m2 + 0.1::DOUBLE * v), 0) + 0.1::DOUBLE * (coalesce(n1, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * v))), 6) AS logp
 FROM b LEFT JOIN t3 USING (ctx, ch) LEFT JOIN c3 USING (ctx) LEFT JOIN t2 ON c1 = right(ctx, 1) AND t2.ch = b.ch LEFT JOIN c2 ON c2.c1 = right(ctx, 1) LEFT JOIN t1 ON t1.ch = b.ch, tot GROUP BY item_id""")
 def trigram_logprob(spark, sf_dir):
-    t3 = _grams(table(spark, sf_dir, "documents"), "doc_id").groupBy("ctx", "ch").agg(F.count("*").alias("n3"))
-    g = _grams(table(spark, sf_dir, "benchmark"), "item_id").withColumn("c1", F.expr("right(ctx, 1)"))
+    g = _grams(table(spark, sf_dir, "benchmark"), "item_id")
+    return trigram_scores(trigram_counts(spark, sf_dir), g, "item_id").select("item_id", F.round("lm", 6).alias("logp"))
+
+
+def trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grams(table(spark, sf_dir, "documents"), "doc_id").groupBy("ctx", "ch").agg(F.count("*").alias("n3"))
+
+
+def trigram_scores(t3: DataFrame, g: DataFrame, *keys: str) -> DataFrame:
+    """(keys, lm): mean logarithm of the interpolated probability a letter."""
+    g = g.withColumn("c1", F.expr("right(ctx, 1)"))
     t2 = t3.groupBy(F.expr("right(ctx, 1)").alias("c1"), "ch").agg(F.sum("n3").alias("n2"))
     t1 = t3.groupBy("ch").agg(F.sum("n3").alias("n1"))
-    tot = t1.agg(F.sum("n1").alias("n"), (F.count("*") + 1).alias("v"))
+    tot = t1.agg(F.sum("n1").alias("nn"), (F.count("*") + 1).alias("v"))
     g = g.join(t3, ["ctx", "ch"], "left").join(t3.groupBy("ctx").agg(F.sum("n3").alias("m3")), "ctx", "left").join(t2, ["c1", "ch"], "left").join(t2.groupBy("c1").agg(F.sum("n2").alias("m2")), "c1", "left").join(t1, "ch", "left").crossJoin(F.broadcast(tot))  # one row
     p = lambda n, m: F.coalesce((F.coalesce(n, F.lit(0)) + F.lit(0.1)) / (F.col(m) + F.lit(0.1) * F.col("v")), F.lit(0.0))
-    prob = 0.7 * p("n3", "m3") + 0.2 * p("n2", "m2") + 0.1 * p("n1", "n")
-    return g.groupBy("item_id").agg(F.round(F.avg(F.log(prob)), 6).alias("logp"))
+    prob = 0.7 * p("n3", "m3") + 0.2 * p("n2", "m2") + 0.1 * p("n1", "nn")
+    return g.groupBy(*keys).agg(F.avg(F.log(prob)).alias("lm"))
 
 
 # --- training data --------------------------------------------------------------------------------------
@@ -458,11 +471,11 @@ def oov_tier_report(spark, sf_dir):
     return t.unionByName(t.groupBy("tier").agg(F.lit("all").alias("bucket"), F.sum("n").alias("n")))
 
 
-@query("""SELECT least(levenshtein(a.text[:60], b.text[:60]), 40) AS lev, count(*) AS n FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 GROUP BY 1""")
+@query("""SELECT least(levenshtein(a.text, b.text), 40) AS lev, count(*) AS n FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 GROUP BY 1""")
 def edit_distance_hist(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("t2"))
-    lev = F.levenshtein(F.substring("text", 1, 60), F.substring("t2", 1, 60)).cast("long")
+    lev = F.levenshtein("text", "t2").cast("long")
     return b.join(nxt, "item_id").groupBy(F.least(lev, F.lit(40)).alias("lev")).agg(_n())
 
 
@@ -515,11 +528,16 @@ x AS (SELECT item_id, cand, unnest(ws) AS w FROM c), s AS (
 SELECT item_id, cand, count(*) AS n, avg((freq IS NOT NULL)::INT) AS cov, sum(ln(1 + coalesce(freq, 0))) / (count(*) * ln(1 + any_value(m))) AS fw, count_if(freq IS NULL) AS oov FROM x LEFT JOIN lex ON pada = w, top GROUP BY ALL)"""
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two segmentations of each text with coverage, frequency, unknown words and length."""
+def candidate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, cand, ws): the words of each text, and its words two by two."""
     w = table(spark, sf_dir, "benchmark").select("item_id", F.split(F.replace(X.to_phonemes(F.col("text")), F.lit("\n"), F.lit(" ")), " ").alias("w"))
     pairs = F.expr("transform(sequence(1, size(w), 2), i -> concat(w[i - 1], coalesce(get(w, i), '')))")
-    c = w.select("item_id", F.posexplode(F.array("w", pairs)).alias("cand", "ws")).select("item_id", (F.col("cand") + 1).cast("long").alias("cand"), F.explode("ws").alias("pada"))
+    return w.select("item_id", F.posexplode(F.array("w", pairs)).alias("cand", "ws")).select("item_id", (F.col("cand") + 1).cast("long").alias("cand"), "ws")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of each text with coverage, frequency, unknown words and length."""
+    c = candidate_words(spark, sf_dir).select("item_id", "cand", F.explode("ws").alias("pada"))
     lex = lexicon(spark, sf_dir)
     top = F.broadcast(lex.agg(F.max("freq").alias("m")))  # one row
     return c.join(lex, "pada", "left").crossJoin(top).groupBy("item_id", "cand").agg(F.count("*").alias("n"), F.avg(F.col("freq").isNotNull().cast("int")).alias("cov"), (F.sum(F.log1p(F.coalesce("freq", F.lit(0)))) / (F.count("*") * F.log1p(F.first("m")))).alias("fw"), F.count_if(F.col("freq").isNull()).alias("oov"))
@@ -550,6 +568,12 @@ def ranking_ablation(spark, sf_dir):
     return best.groupBy("arm").agg(F.count("*").alias("n_items"), F.count_if(F.col("b.cand") == 1).alias("n_exact"), F.sum("b.n").alias("n_words"), F.sum("b.oov").alias("n_unknown"))
 
 
+def fused_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, src): neighbours in the benchmark texts and what their junction gives, without blanks."""
+    p = sandhi.fold(_pairs(table(spark, sf_dir, "benchmark"), "item_id").select("a", "b").distinct(), "a", "b", "joined", "category")
+    return p.select("a", "b", F.replace("joined", F.lit(" "), F.lit("")).alias("src"))
+
+
 @query()
 def kbest_segment(spark, sf_dir):
     """The best covers of fused word pairs by the lexicon; a pair without one keeps its text, as its own tier."""
@@ -561,15 +585,14 @@ def kbest_segment(spark, sf_dir):
     known = {r["pada"]: r["lp"] for r in lex.select("pada", F.log("freq").alias("lp")).collect()}
     shared = spark.sparkContext.broadcast(known)  # at most the words of the benchmark texts
     table_ = [(f, s, r) for _, f, s, r, _ in sandhi.RULES]
-    fused = sandhi.join(_pairs(table(spark, sf_dir, "benchmark"), "item_id").select("a", "b").distinct()).filter("cand = 1")
-    fused = fused.select(F.replace("joined", F.lit(" "), F.lit("")).alias("src")).filter("length(src) <= 40").distinct()
+    joins = sandhi.results()
 
     def run(batches):
         for pdf in batches:
             rows = []
             for src in pdf["src"]:
                 best = sandhi.kbest(src, shared.value, table_)
-                rows += [(src, k + 1, "|".join(ws), round(sc, 6), "lexicon") for k, (sc, ws) in enumerate(best)] or [(src, 1, src, 0.0, "fallback")]
-            yield pd.DataFrame(rows, columns=["src", "cand", "padas", "score", "tier"])
+                rows += [(src, k + 1, "|".join(ws), round(sc, 6), "lexicon", sandhi.rederives(ws, src, joins)) for k, (sc, ws) in enumerate(best)] or [(src, 1, src, 0.0, "fallback", True)]
+            yield pd.DataFrame(rows, columns=["src", "cand", "padas", "score", "tier", "rederivable"])
 
-    return fused.mapInPandas(run, "src string, cand long, padas string, score double, tier string")
+    return fused_pairs(spark, sf_dir).select("src").distinct().mapInPandas(run, "src string, cand long, padas string, score double, tier string, rederivable boolean")

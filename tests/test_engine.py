@@ -124,3 +124,61 @@ def test_prune(spark):
     got = lexicon.prune(spark.createDataFrame(list(lex.items()), "pada string, freq long"))
     assert {r["pada"] for r in got.collect()} == {w for w, n in lex.items() if n > 10 or len(w) < 8 or not covered(w)}
     assert lexicon.prune(spark.createDataFrame([], "pada string, freq long")).count() == 0
+
+
+def every_split(text, table):
+    """All word sequences, by a plain search: words, fewest plain letters."""
+    found = {}
+
+    def go(at, word, done, plain):
+        if at == len(text):
+            if word:
+                found[(*done, word)] = min(plain, found.get((*done, word), plain))
+            return
+        go(at + 1, word + text[at], done, plain + 1)
+        for f, s, r in table:
+            r = r.replace(" ", "")
+            if text.startswith(r, at):
+                go(at + len(r), s, (*done, word + f), plain)
+
+    go(0, "", (), 0)
+    return [list(p) for p in sorted(found, key=lambda p: (len(p), found[p], p))]
+
+
+@pytest.mark.parametrize("text", ["rAmo'", "devI", "asti", "q", "eva"])
+@pytest.mark.parametrize("most", [1, 20, 300])
+def test_split_against_search(text, most):
+    table = [(f, s, r) for _, f, s, r, _ in RULES]
+    assert sandhi.split_all(text, table, most) == every_split(text, table)[:most]
+
+
+def test_long_split():
+    table = [(f, s, r) for _, f, s, r, _ in RULES]
+    best = sandhi.split_all("rAmagacchativanam" * 12, table)
+    assert len(best) == 20 and len({tuple(p) for p in best}) == 20
+    assert sandhi.split_all("", table) == [[""]]
+
+
+def test_fold(spark):
+    """The first candidate of join, for sides of any length and blanks inside."""
+    pairs = [(a, b) for a in ("rAma", "tat", "rAmas", "a", "s", "A", "y i", "deva", "kavis", "x", "q") for b in ("asti", "hitam", "indra", "r", "a", "q")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    first = {(r["a"], r["b"]): (r["joined"], r["category"]) for r in sandhi.join(df).filter("cand = 1").collect()}
+    assert {(r["a"], r["b"]): (r["joined"], r["category"]) for r in sandhi.fold(df, "a", "b", "joined", "category").collect()} == first
+
+
+@pytest.mark.parametrize(("padas", "text", "yes"), [(["rAmaH", "asti"], "rAmo'sti", True), (["rAma", "asti"], "rAmAsti", True), (["rAma", "asti"], "rAmaasti", False), (["tat", "hitam"], "tadDitam", True), (["deva"], "deva", True), (["rAmaH", "asti", "iti"], "rAmo'stIti", True), (["x"], "y", False)])
+def test_rederives(padas, text, yes):
+    assert sandhi.rederives(padas, text, sandhi.results()) is yes
+
+
+def test_reports(spark):
+    from lexiloom.plans import boundaries
+
+    gold = spark.createDataFrame([("ab", "a|b", True), ("cd", "c|e", False), ("q", "q|r", True)], "src string, gold string, zero boolean")
+    splits = spark.createDataFrame([("ab", 1, "ab"), ("ab", 2, "a|b"), ("cd", 1, "cd"), ("q", 1, "q"), ("other", 1, "a|b")], "word string, cand long, padas string")
+    rows = boundaries.pool_report(gold, splits).orderBy("zero").collect()
+    assert [tuple(r) for r in rows] == [(False, 1, 0, 1, 1.0), (True, 2, 1, 1, 1.5)]
+    covers = spark.createDataFrame([("ab", 1, "a|b", "lexicon", True), ("ab", 2, "ab", "lexicon", True), ("cd", 1, "c|dxxxxxxxxx", "lexicon", False), ("cd", 2, "c|e", "lexicon", False), ("q", 1, "q", "fallback", True)], "src string, cand long, padas string, tier string, rederivable boolean")
+    rows = boundaries.error_report(gold.drop("zero"), covers).orderBy("tier", "lev").collect()
+    assert [tuple(r) for r in rows] == [("fallback", 0, 1, 0, 0, 1), ("lexicon", 0, 1, 1, 1, 1), ("lexicon", 6, 1, 0, 1, 0)]
