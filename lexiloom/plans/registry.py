@@ -137,12 +137,15 @@ an AS (SELECT id, CASE WHEN length(flat) IN (16, 32) AND len(bad) = 0 AND len(li
   THEN CASE WHEN len(list_filter(odd, lambda x: x <> 'pathyā')) = 0 THEN 'pathyā' WHEN len(odd) = 2 AND odd[1] <> 'pathyā' AND odd[2] <> 'pathyā' AND odd[1] <> odd[2] THEN odd[1] || ', ' || odd[2] ELSE list_filter(odd, lambda x: x <> 'pathyā')[1] END END AS label FROM o)"""
 
 
-@query(f"""WITH {D.lines('documents', 'doc_id')}, flats AS (SELECT doc_id AS id, left(string_agg({D.weights('line')}, '' ORDER BY pos), 32) AS flat FROM lines GROUP BY doc_id), {_ANUSTUBH}
-SELECT id AS doc_id, label FROM an WHERE label IS NOT NULL""")
+@query(f"""WITH {D.lines('documents', 'doc_id')}, whole AS (SELECT doc_id, string_agg({D.weights('line')}, '' ORDER BY pos) AS f FROM lines GROUP BY doc_id),
+flats AS (SELECT struct_pack(doc_id := doc_id, stanza := k) AS id, substr(f, k * 32 + 1, 32) AS flat FROM (SELECT *, unnest(range(0, (length(f) + 31) // 32)) AS k FROM whole)), {_ANUSTUBH}
+SELECT id.doc_id AS doc_id, id.stanza AS stanza, label FROM an WHERE label IS NOT NULL""")
 def anustubh_label(spark, sf_dir):
-    flat = F.substring(F.array_join(F.transform(F.split(X.to_phonemes(F.coalesce("text", F.lit(""))), "\n"), X.weights), ""), 1, 32)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(flat)).alias("flat"))  # a row of its own, so that what follows doesn't compute it again
-    return rows.select("doc_id", prosody.anustubh(F.col("flat")).alias("label")).filter("label is not null")
+    """Of every 32 syllables of a text, the rest included."""
+    flat = F.array_join(F.transform(F.split(X.to_phonemes(F.coalesce("text", F.lit(""))), "\n"), X.weights), "")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(flat)).alias("f")).filter("f <> ''")  # a row of its own, so that what follows doesn't compute it again
+    rows = rows.select("doc_id", F.posexplode(F.expr("transform(sequence(0, (length(f) - 1) div 32), k -> substring(f, cast(k * 32 + 1 as int), 32))")).alias("stanza", "flat"))
+    return rows.select("doc_id", F.col("stanza").cast("long").alias("stanza"), prosody.anustubh(F.col("flat")).alias("label")).filter("label is not null")
 
 
 _JATI = """jt AS (SELECT id, list_contains(s, 12) AND ((list_contains(s, 30) AND list_contains(s, 42) AND (list_contains(s, 57) OR list_contains(s, 56))) OR (list_contains(s, 29) AND list_contains(s, 41) AND (list_contains(s, 56) OR list_contains(s, 55)))) AS ok
