@@ -53,11 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lines(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
     cut = F.split(X.to_phonemes(F.coalesce(text, F.lit(""))), "\n")
-    return df.select(*keys, F.posexplode(cut).alias("pos", "line")).filter("line <> ''").withColumn("pos", F.col("pos").cast("long"))
+    # outer, as Catalyst else asks first whether the array is empty, and computes it once more for that
+    return df.select(*keys, F.posexplode_outer(cut).alias("pos", "line")).filter("line <> ''").withColumn("pos", F.col("pos").cast("long"))
 
 
 def words(df: DataFrame, *keys: str) -> DataFrame:
-    return lines(df, *keys).select(*keys, "pos", F.posexplode(F.split("line", " ")).alias("wpos", "word")).withColumn("wpos", F.col("wpos").cast("long"))
+    return lines(df, *keys).select(*keys, "pos", F.posexplode_outer(F.split("line", " ")).alias("wpos", "word")).withColumn("wpos", F.col("wpos").cast("long"))
 
 
 def _n(c="*"):
@@ -433,9 +434,15 @@ _HELD = f"""{_LEX}, l AS (SELECT doc_id, min(struct_pack(f := freq, n := -length
 r AS (SELECT doc_id, m.w AS w, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) AS k, count(*) OVER () AS n FROM l), held AS (SELECT DISTINCT w FROM r WHERE k <= ceil(0.3::DOUBLE * n))"""
 
 
+def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, word), a word once a row of documents; repeats go within the row, before anything is shuffled."""
+    w = F.array_distinct(F.split(F.translate(X.to_phonemes(F.coalesce("text", F.lit(""))), "\n", " "), " "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(w).alias("word")).filter("word <> ''")
+
+
 def _held(w: DataFrame, lex: DataFrame) -> DataFrame:
-    """(held): the rarest word of each of 30 % of the documents, by hash."""
-    rare = w.filter("length(word) >= 3").select("doc_id", "word").distinct().join(lex, "word").groupBy("doc_id").agg(F.min(F.struct("freq", -F.length("word"), "word")).alias("m"))
+    """(held): the rarest word of each of 30 % of the documents, by hash. w: words of documents, each once a row."""
+    rare = w.filter("length(word) >= 3").join(lex, "word").groupBy("doc_id").agg(F.min(F.struct("freq", -F.length("word"), "word")).alias("m"))
     n = F.broadcast(rare.agg(F.count("*").alias("n")))  # one row
     sites = rare.select("doc_id", F.col("m.word").alias("held"), F.md5(F.concat(F.lit("0:"), F.col("doc_id").cast("string"))).alias("h")).crossJoin(n)
     b = Window.partitionBy("b").orderBy("h", "doc_id")
@@ -448,9 +455,9 @@ def _held(w: DataFrame, lex: DataFrame) -> DataFrame:
 d AS (SELECT doc_id, bool_or(h.w IS NOT NULL) AS oov FROM words LEFT JOIN held h ON h.w = word GROUP BY doc_id)
 SELECT CASE WHEN g = 1 THEN 'all' WHEN oov THEN 'oov' ELSE 'in_lex' END AS bucket, n FROM (SELECT oov, grouping(oov) AS g, count(*) AS n FROM d GROUP BY GROUPING SETS ((oov), ()))""")
 def oov_report(spark, sf_dir):
-    w = words(table(spark, sf_dir, "documents"), "doc_id")
-    held = _held(w, w.groupBy("word").agg(F.count("*").alias("freq")))
-    d = w.select("doc_id", "word").distinct().join(held, F.col("word") == F.col("held"), "left").groupBy("doc_id").agg(F.bool_or(F.col("held").isNotNull()).alias("oov"))
+    w = document_words(spark, sf_dir)
+    held = _held(w, lexicon(spark, sf_dir).withColumnRenamed("pada", "word"))
+    d = w.join(held, F.col("word") == F.col("held"), "left").groupBy("doc_id").agg(F.bool_or(F.col("held").isNotNull()).alias("oov"))
     one = d.groupBy("oov").agg(_n()).select(F.when(F.col("oov"), "oov").otherwise("in_lex").alias("bucket"), "n")
     return one.union(one.agg(F.lit("all").alias("bucket"), F.sum("n").alias("n")))
 
@@ -461,8 +468,8 @@ t AS (SELECT CASE WHEN a IN (SELECT pada FROM ab) AND b IN (SELECT pada FROM ab)
 SELECT tier, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, count(*) AS n FROM t GROUP BY GROUPING SETS ((tier), (tier, bucket))""")
 def oov_tier_report(spark, sf_dir):
     """Pairs of neighbours in the benchmark texts by tier (both in the lexicon less the held words, or not) and by whether one is held."""
-    w = words(table(spark, sf_dir, "documents"), "doc_id")
-    lex = w.groupBy("word").agg(F.count("*").alias("freq"))
+    w = document_words(spark, sf_dir)
+    lex = lexicon(spark, sf_dir).withColumnRenamed("pada", "word")
     flags = lex.select("word").join(_held(w, lex), F.col("word") == F.col("held"), "left").select("word", F.col("held").isNotNull().alias("is_held"))
     p = _pairs(table(spark, sf_dir, "benchmark"), "item_id").groupBy("a", "b").agg(_n())
     for k in ("a", "b"):

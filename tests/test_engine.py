@@ -33,6 +33,21 @@ def test_distance(spark, a, b, n):
     assert spark.range(1).select(X.distance(F.lit(a), F.lit(b))).first()[0] == n
 
 
+def test_identify(spark):
+    """Against the distance of places, for lines shorter and longer than any quarter."""
+    assert max(len(p) for r in ROWS for p in r[3].split("/")) < prosody.BITS
+    lines = ["", "L", "G", "GGLGGLLGLGG", "LGLGGLLGLGG", "GGLGGLLGLGL", "G" * 47, "LG" * 24, "GL" * 300]
+
+    def distance(w, p):
+        n = min(len(w), len(p)) - (len(w) == len(p))
+        return abs(len(w) - len(p)) + sum(w[k] != p[k] for k in range(n))
+
+    df = spark.createDataFrame(list(enumerate(lines)), "id int, w string")
+    got = [[(r["distance"], r["name"]) for r in prosody.identify(df, ["id"], 145).filter(F.col("id") == k).orderBy("rank").collect()] for k in range(len(lines))]
+    for w, found in zip(lines, got, strict=True):
+        assert found == [x[:2] for x in sorted((min(distance(w, p) for p in ps.split("/")), n, k) for k, n, _, ps in ROWS)]
+
+
 def test_meter_table():
     assert len(ROWS) == 145 and sum("/" in r[3] for r in ROWS) == 21
     assert all("".join(GANAS[g] for q in groups.split("/") for g in q.split("-")) == p.replace("/", "") for _, _, groups, p in ROWS)
