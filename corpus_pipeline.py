@@ -17,16 +17,19 @@ from lexiloom.llm import lang_id, mixing
 from lexiloom.llm import near_dedup as near
 from lexiloom.llm.common import bucket, materialize, read, small
 
-#: A document without a language of at least this share is rejected, as is one without letters.
-MIN_SHARE = 1 / 3
+#: A document is rejected if it has no letter or if, in the mixture over all languages, none has this share: three languages in equal parts go.
+MIN_SHARE = 0.45
+#: So is one of at least so many n-grams which letters drawn one by one explain better than the languages do; shorter texts tell too little.
+JUDGED_GRAMS = 200
 #: Near duplicates share at least so many hundredths of their five-word shingles.
 NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, table = lang_id.fit(docs.filter(bucket(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
-    found = lang_id.identify(docs, langs, table, docs.columns)
-    return found.filter((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= MIN_SHARE)).select(docs.columns)
+    found = lang_id.identify(docs, langs, table, docs.columns, evidence=True)
+    junk = (F.col("_grams") >= JUDGED_GRAMS) & (F.col("_gain") < 0)
+    return found.filter((F.col("lang_pred") != lang_id.UND) & (F.col("_share") >= MIN_SHARE) & ~junk).select(docs.columns)
 
 
 def _without(docs: DataFrame, found: DataFrame) -> DataFrame:

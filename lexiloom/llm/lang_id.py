@@ -95,8 +95,19 @@ def _blocks(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.nda
     return out, first
 
 
-def _mixtures(ll: np.ndarray, first: np.ndarray, max_set: int) -> tuple[np.ndarray, np.ndarray]:
-    """(language index, share) of each document with blocks: EM for sets of 1 to max_set languages."""
+def _letters(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Log-likelihood of an n-gram of each document if its letters were drawn one by one from its own letters, less the cost of knowing them."""
+    b = _FOLD[raw].astype(np.int64)
+    b[(b < 128) & ((b < 97) | (b > 122))] = 32
+    n = np.diff(off)
+    count = np.bincount(np.repeat(np.arange(len(n)), n) * 256 + b, minlength=len(n) * 256).reshape(-1, 256)
+    size = np.maximum(n, 1)
+    entropy = -(count * np.log(np.maximum(count, 1) / size[:, None])).sum(axis=1) / size
+    return -GRAM * (entropy + ((count > 0).sum(axis=1) - 1) / 2 * np.log(size) / size)
+
+
+def _mixtures(ll: np.ndarray, first: np.ndarray, max_set: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document with blocks: (language index, share) by EM for sets of 1 to max_set languages, (largest share, log-likelihood) by EM over all."""
     n_docs, k = len(first) - 1, ll.shape[1]
     per = np.diff(first)
     doc = np.repeat(np.arange(n_docs), per)
@@ -114,7 +125,7 @@ def _mixtures(ll: np.ndarray, first: np.ndarray, max_set: int) -> tuple[np.ndarr
         r = (lik * share[doc]).sum(axis=1)
         return share, np.add.reduceat(np.log(np.maximum(r, 1e-300)) + top[:, 0], first[:-1])
 
-    share, _ = em(np.ones((n_docs, k)))
+    share, total = em(np.ones((n_docs, k)))
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best, at, score = np.full(n_docs, np.inf), np.zeros(n_docs, np.int64), np.zeros(n_docs)
@@ -126,12 +137,18 @@ def _mixtures(ll: np.ndarray, first: np.ndarray, max_set: int) -> tuple[np.ndarr
         cost = -2 * fit_ll + (2 * m - 1) * np.log(np.maximum(per, 2)) * 3
         better = cost < best
         best[better], at[better], score[better] = cost[better], s[better].argmax(axis=1), s[better].max(axis=1)
-    return at, score
+    return at, score, share.max(axis=1), total
 
 
-def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str], text_col: str = "text", max_set: int = MAX_SET) -> DataFrame:
-    """``keep`` columns with lang_pred and score appended (clashing names are replaced)."""
-    keep = [c for c in keep if c not in ("lang_pred", "score")]
+def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str], text_col: str = "text", max_set: int = MAX_SET, evidence: bool = False) -> DataFrame:
+    """``keep`` columns with lang_pred and score appended (clashing names are replaced).
+
+    ``evidence`` appends three more: _grams, the n-grams of the text; _share, the largest share of the mixture over
+    all languages, which has no lower bound but 1 / their number; _gain, the nats an n-gram by which that mixture explains the text
+    better than letters drawn one by one. Texts shorter than an n-gram have 0, 0.5 and 0.
+    """
+    added = ["lang_pred", "score", *(["_grams", "_share", "_gain"] if evidence else [])]
+    keep = [c for c in keep if c not in added]
     shared = docs.sparkSession.sparkContext.broadcast(table) if langs else None  # 2**BITS x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,24 +157,28 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[st
             raw, off = byte_view(text)
             lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             pred, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
+            grams, broad, gain = np.maximum(np.diff(off) - GRAM + 1, 0), np.full(b.num_rows, 0.5), np.zeros(b.num_rows)
             if langs:
                 for lo, hi in slices(off, _LIMIT):
                     ll, first = _blocks(raw, off[lo : hi + 1], shared.value)
                     has = np.diff(first) > 0
                     if has.any():
-                        ids, share = _mixtures(ll, np.concatenate([first[:-1][has], first[-1:]]), max_set)
+                        ids, share, widest, total = _mixtures(ll, np.concatenate([first[:-1][has], first[-1:]]), max_set)
                         at = np.flatnonzero(has) + lo
                         pred[at], score[at] = ids, share
+                        if evidence:
+                            broad[at], gain[at] = widest, total / grams[at] - _letters(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[has]
                 bare = lettered & (pred < 0)  # fewer bytes than an n-gram: no evidence
                 pred[bare], score[bare] = 0, 0.5
             names = np.array([*langs, UND], dtype=object)
             pred[~lettered], score[~lettered] = -1, 0.0
             cols = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names[pred], pa.string()), pa.array(np.clip(score, 0, 1))], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            out = [pa.array(names[pred], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(grams, pa.int64()), pa.array(broad), pa.array(gain)]
+            yield pa.RecordBatch.from_arrays([*cols, *out[: len(added)]], names=[*b.schema.names[:-1], *added])
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, fields + ", lang_pred string, score double")
+    return rows.mapInArrow(run, fields + ", lang_pred string, score double" + (", _grams long, _share double, _gain double" if evidence else ""))
 
 
 def language_id(docs: DataFrame, train: DataFrame, per_lang: int = PER_LANG) -> DataFrame:

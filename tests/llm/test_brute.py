@@ -296,6 +296,19 @@ def test_pipeline(spark, docs):
         kept = {i: docs[i] for i in ids}
 
 
+def test_pipeline_rejects(spark, tmp_path):
+    """The language stage drops mixtures of three and four languages and lettered junk, and keeps the clean documents."""
+    src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = {r["doc_id"] for r in src.filter("n_chars > 40").collect()}
+    pick = lambda lang, n: " ".join(r["text"] for r in src.filter(f"lang = '{lang}' and n_chars between 500 and 3000").orderBy("doc_id").limit(3).collect())[:n]
+    rng = random.Random(6)
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(100))
+    odd = [" ".join(pick(x, 700) for x in ("en", "de", "fr")), " ".join(pick(x, 700) for x in ("en", "de", "fr", "es")), junk, "asdkjh qwlekj zmxncb " * 20]
+    rows = spark.createDataFrame([(10**9 + k, t, None, "s", len(t)) for k, t in enumerate(odd)], src.schema)
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, src.unionByName(rows), str(tmp_path)).collect()}
+    assert not got & {10**9 + k for k in range(len(odd))} and got >= clean
+
+
 def test_compaction_tiers(monkeypatch):
     """Many small and large runs of one shard give what a plain count gives."""
     monkeypatch.setattr(exact_dedup, "SMALL", 20)
