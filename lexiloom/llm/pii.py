@@ -3,9 +3,10 @@
 Base values are found by one regex a kind; starts and ends come from the lengths of the pieces between
 matches. The second part is information-theoretic. A term is a word within ``NEAR`` characters of
 a value. Over the whole corpus, co-occurrence gives what seeing the term tells of the value:
-the share of the term's documents that hold the value near it, and the pointwise mutual information. A
-term above both thresholds, seen with the value in ``MIN_DOCS`` documents, discloses it, and its places
-near the value become spans of kind ``term``. ``sanitize`` generalises values to their kind and
+the share of the term's documents that hold the value near it, and how much of the value's surprise the term
+removes (pointwise mutual information over the value's own information, 1 at most for any frequency). A
+term above both thresholds, seen with the value in ``MIN_DOCS`` documents and more often than chance allows over all
+pairs tried, discloses it, and its places near the value become spans of kind ``term``. ``sanitize`` generalises values to their kind and
 removes disclosing terms.
 
 Defined results: null and empty texts have no spans. Repeated rows count as documents of their own.
@@ -31,7 +32,8 @@ TERM = r"\p{L}[\p{L}\p{N}]{3,}"
 NEAR = 48
 MIN_DOCS = 3
 MIN_SHARE = 0.6  # of the term's documents
-MIN_PMI = 6.0  # nats
+MIN_REMOVED = 0.5  # of the value's surprise
+CHANCE = 0.01  # that any pair passes by chance, at most
 
 
 def _digits(c: Column) -> Column:
@@ -86,10 +88,12 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: F.when(text.rlike(test), F.filter(spans(text, pattern), _check(kind))).otherwise(F.expr(_NONE)) for kind, pattern, test in KINDS}
 
 
-def disclosing(docs: DataFrame, near: DataFrame, total: int, min_docs: int, min_share: float, min_pmi: float) -> DataFrame:
+def disclosing(docs: DataFrame, near: DataFrame, total: int, min_docs: int, min_share: float, min_pmi: float, min_removed: float) -> DataFrame:
     """(value, term) that disclose. ``near``: (_row, value, term, ...) of terms near values."""
     pairs = near.select("_row", "value", "term").distinct()
     both = pairs.groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_docs)
+    both = materialize(both, "tried")
+    tried = max(both.count(), 1)
     # a term has at least the documents that hold it near any value: most common words end here
     least = pairs.select("_row", "term").distinct().groupBy("term").agg(F.count("*").alias("n_least"))
     both = both.join(least, "term").filter(F.col("n_both") >= min_share * F.col("n_least"))
@@ -99,11 +103,16 @@ def disclosing(docs: DataFrame, near: DataFrame, total: int, min_docs: int, min_
     seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("t"))
     counts = seen.join(small(terms), F.col("t") == F.col("term"), "left_semi").groupBy("t").agg(F.count("*").alias("n_term"))
     both = both.join(counts, F.col("term") == F.col("t"))
-    pmi = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_value") * F.col("n_term")))
-    return both.filter((F.col("n_both") >= min_share * F.col("n_term")) & (pmi >= min_pmi)).select("value", "term")
+    share, base = F.col("n_both") / F.col("n_term"), F.col("n_value") / F.lit(float(total))
+    pmi = F.log(share / base)
+    # Chernoff's bound on seeing this share by chance, against the number of pairs tried
+    other = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    sure = F.col("n_term") * (share * pmi + other) >= F.log(F.lit(tried / CHANCE))
+    told = (share >= min_share) & (base < 1) & (share > base) & (pmi >= -min_removed * F.log(base)) & (pmi >= min_pmi) & sure
+    return both.filter(told).select("value", "term")
 
 
-def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_pmi: float = MIN_PMI) -> DataFrame:
+def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_pmi: float = 0.0, min_removed: float = MIN_REMOVED) -> DataFrame:
     """``keep`` columns and an array of (start, end, text) for each kind and for ``term``."""
     names = [k for k, _, _ in KINDS]
     src = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -121,7 +130,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "
     near = ctx.select("_row", "a.value", "a.at", F.explode(words).alias("w"))
     near = near.select("_row", "value", F.lower("w.text").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), "w.text")
     near = materialize(near, "near")
-    told = disclosing(src, near, found.count(), min_docs, min_share, min_pmi)
+    told = disclosing(src, near, found.count(), min_docs, min_share, min_pmi, min_removed)
     terms = near.join(small(materialize(told, "disclosing")), ["value", "term"], "left_semi")
     taken = F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end", "text"))))
     terms = terms.groupBy("_row").agg(taken.alias("_terms")).withColumnRenamed("_row", "_r")

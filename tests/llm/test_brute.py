@@ -155,6 +155,14 @@ def test_disclosure(spark):
     assert all(found[k] == ["Zorblatt"] for k in range(4)) and not any(found[k] for k in range(10, 70))
 
 
+def test_disclosure_of_common_value(spark):
+    """With production parameters: a value of a third of the rows is given away by its own term, and by no word that is spread evenly."""
+    rows = [(k, f"so Zorblatt wrote to bob@x.org word{k % 7} about it") for k in range(60)]
+    rows += [(100 + k, f"so someone wrote to x{k}@y.org word{k % 7} about it") for k in range(120)]
+    found = {r["doc_id"]: {s["text"] for s in r["term"]} for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[k] == {"Zorblatt"} for k in range(60)) and not any(found[100 + k] for k in range(120))
+
+
 def test_licenses(spark, docs):
     rows = dict(docs) | {900: "CC-BY cc by cc by, General Public\nLicense", 901: "Licensed under the Apache License, Version 2.0", 902: "GNU General Public License v3 or later", 903: None}
     for r in license_scan.scan(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect():
