@@ -6,7 +6,7 @@ a value. Over the whole corpus, co-occurrence gives what seeing the term tells o
 the share of the term's documents that hold the value near it, and how much of the value's surprise the term
 removes (pointwise mutual information over the value's own information, 1 at most for any frequency). A
 term above both thresholds, seen with the value in ``MIN_DOCS`` documents and more often than chance allows over all
-pairs tried, discloses it, and its places near the value become spans of kind ``term``. ``sanitize`` generalises values to their kind and
+pairs tried, discloses it, and each of its places in any text become spans of kind ``term``. ``sanitize`` generalises values to their kind and
 removes disclosing terms.
 
 Defined results: null and empty texts have no spans. Repeated rows count as documents of their own.
@@ -66,7 +66,7 @@ def _holds(kind: str, c: Column) -> Column:
 _NONE = "cast(array() as array<struct<start:int,end:int,text:string>>)"
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str | Column) -> Column:
     """(start, end, text) of a pattern's matches, leftmost and without overlaps, in code points."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     return F.aggregate(
@@ -123,18 +123,21 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "
         F.struct(a["value"].alias("value"), a["end"].alias("at"), F.substring(F.col("_text"), a["end"] + 1, F.lit(NEAR)).alias("text")),
     )))
     found = found.withColumn("_around", F.when(F.greatest(*[F.size(f"_{k}") for k in names]) > 0, contexts))
-    found = materialize(found.drop("_text").withColumn("_row", F.monotonically_increasing_id()), "spans")
+    found = materialize(found.withColumn("_row", F.monotonically_increasing_id()), "spans")
     # words cut by the edge of a context are left out
     ctx = found.filter("_around is not null").select("_row", F.explode("_around").alias("a"))
     words = F.filter(spans(F.col("a.text"), TERM), lambda s: (s["start"] > 0) & (s["end"] < F.char_length("a.text")))
-    near = ctx.select("_row", "a.value", "a.at", F.explode(words).alias("w"))
-    near = near.select("_row", "value", F.lower("w.text").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), "w.text")
-    near = materialize(near, "near")
-    told = disclosing(src, near, found.count(), min_docs, min_share, min_pmi, min_removed)
-    terms = near.join(small(materialize(told, "disclosing")), ["value", "term"], "left_semi")
-    taken = F.array_sort(F.array_distinct(F.collect_list(F.struct("start", "end", "text"))))
-    terms = terms.groupBy("_row").agg(taken.alias("_terms")).withColumnRenamed("_row", "_r")
+    near = ctx.select("_row", "a.value", F.explode(words).alias("w"))
+    near = materialize(near.select("_row", "value", F.lower("w.text").alias("term")), "near")
+    told = disclosing(found, near, found.count(), min_docs, min_share, min_pmi, min_removed)
+    # every place of a disclosing term, in texts that lack the value too; a pattern holds the terms of its text
+    terms = materialize(told.select("term").distinct(), "disclosing")
+    words_of = found.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("t"))
+    terms = words_of.join(small(terms), F.col("t") == F.col("term"), "left_semi").groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("t")), "|").alias("_any"))
+    terms = materialize(terms.withColumnRenamed("_row", "_r"), "terms")
     out = found.join(small(terms), F.col("_row") == F.col("_r"), "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L}\p{N}{0,30})(?:"), F.col("_any"), F.lit(r")(?![\p{L}\p{N}])"))
+    out = out.withColumn("_terms", F.when(F.col("_any").isNotNull(), spans(F.col("_text"), pattern)))
     inside = lambda t: F.exists(F.concat(*[F.col(f"_{k}") for k in names]), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     free = F.filter(F.coalesce("_terms", F.expr(_NONE)), lambda t: ~inside(t))
     return out.select(*keep, *[F.col(f"_{k}").alias(k) for k in names], free.alias("term"))

@@ -163,6 +163,17 @@ def test_disclosure_of_common_value(spark):
     assert all(found[k] == {"Zorblatt"} for k in range(60)) and not any(found[100 + k] for k in range(120))
 
 
+def test_disclosing_term_everywhere(spark):
+    """A disclosing term is marked far from the value, at the text's edge and in texts without the value, as a whole word."""
+    rows = [(k, "so Zorblatt wrote to bob@x.org about it" + " and so on" * 20 + " for ZORBLATT then") for k in range(8)]
+    rows += [(100 + k, f"so someone wrote to x{k}@y.org about it") for k in range(60)] + [(200, "Zorblatt, 12zorblatt; zorblatts a1zorblatt zorblatt")]
+    found = {r["doc_id"]: [(s["start"], s["end"], s["text"]) for s in r["term"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    word = r"[^\W\d_][^\W_]{3,}"
+    want = {i: [(m.start(), m.end(), m.group()) for m in re.finditer(word, t) if m.group().lower() == "zorblatt"] for i, t in texts.items()}
+    assert found == want and len(want[0]) == 2 and len(want[200]) == 3
+
+
 def test_licenses(spark, docs):
     rows = dict(docs) | {900: "CC-BY cc by cc by, General Public\nLicense", 901: "Licensed under the Apache License, Version 2.0", 902: "GNU General Public License v3 or later", 903: None}
     for r in license_scan.scan(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect():
