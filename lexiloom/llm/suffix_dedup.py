@@ -50,7 +50,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     t = np.concatenate([s + 1, np.zeros(3, np.int64)])  # 0 ends the text
     extra = n % 3 == 1  # a sample at the end, so that the two halves stay apart
     sample = np.concatenate([np.arange(1, n + extra, 3), np.arange(2, n, 3)])
-    key = (t[sample] * (top + 1) + t[sample + 1]) * (top + 1) + t[sample + 2]
+    pair = t[:-1] * (top + 1) + t[1:]
+    if (top + 1) ** 2 * max(top + 1, n + 4) >= 1 << 63:  # a third number doesn't fit: names of pairs, in their order
+        pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+    key = pair[sample] * (top + 1) + t[sample + 2]
     order = np.argsort(key, kind="stable")
     ranked = key[order]
     names = np.empty(len(sample), np.int64)
@@ -69,9 +72,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     lo, hi = np.zeros(len(sa0), np.int64), np.full(len(sa0), len(sa12), np.int64)
     width = n + 4
     one = t[sa0] * width + rank[sa0 + 1]
-    two = (t[sa0] * (top + 1) + t[sa0 + 1]) * width + rank[sa0 + 2]
+    two = pair[sa0] * width + rank[sa0 + 2]
     first = sa12 % 3 == 1
-    key12 = np.where(first, t[sa12] * width + rank[sa12 + 1], (t[sa12] * (top + 1) + t[sa12 + 1]) * width + rank[sa12 + 2])
+    key12 = np.where(first, t[sa12] * width + rank[sa12 + 1], pair[sa12] * width + rank[sa12 + 2])
     while True:
         open_ = lo < hi
         if not open_.any():

@@ -109,6 +109,19 @@ def test_suffix_array():
             assert list(suffix_dedup.suffix_array(s)) == sorted(range(n), key=lambda i: tuple(s[i:]))
 
 
+def test_suffix_array_wide():
+    """More symbols than three of them fit into 64 bits."""
+    s = np.random.default_rng(2).permutation(2_500_000)
+    assert np.array_equal(suffix_dedup.suffix_array(s), np.argsort(s))
+    s = np.concatenate([s, s[: 30_000]])  # a repeat, to recurse
+    got = suffix_dedup.suffix_array(s)
+    assert np.array_equal(s[got], np.sort(s)) and np.array_equal(np.sort(got), np.arange(len(s)))
+    place = np.empty(len(s) + 1, np.int64)
+    place[got], place[-1] = np.arange(len(s)), -1
+    equal = s[got[1:]] == s[got[:-1]]
+    assert (place[got[:-1] + 1][equal] < place[got[1:] + 1][equal]).all()
+
+
 def test_suffix_runs(spark, monkeypatch):
     """Periodic texts, shared passages, texts longer than a slice."""
     monkeypatch.setattr(suffix_dedup, "_LIMIT", 256)
