@@ -1,9 +1,9 @@
 """License scan by ordered signature rules, in SQL functions.
 
 Texts are words joined by blanks. A rule has a label, a keyword, a priority and a regex; the table is
-built from the families below, each in several forms, and from notices that stand alone. A text
-without any keyword is done after one set intersection; in others only rules whose keyword
-occurs are run. A detection is suppressed if another one contains it and has a higher priority, or the
+built from the families below, each in several forms, and from notices that stand alone. Each match of a
+rule holds one of its keywords. A text without any is done after one set intersection; in others only rules
+of which a keyword occurs are run. A detection is suppressed if another one contains it and has a higher priority, or the
 same priority and a longer interval or an earlier rule.
 
 Base phrases are counted by their words, whatever the rules find, and their labels stay.
@@ -22,7 +22,7 @@ from .common import read, words
 #: Phrases and labels of the contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, keyword, and how the words of the name read.
+#: Label, keywords of which each match holds one, and how the words of the name read.
 FAMILIES = (
     ("agpl-3.0", "affero", r"(gnu )?affero general public license( version)?( v?3)?( 0)?( or (any )?later( version)?)?"),
     ("apache-1.1", "apache", r"apache( software)? license( version)? 1 1"),
@@ -59,7 +59,7 @@ FAMILIES = (
     ("gpl-3.0-or-later", "later", r"(gnu )?general public license( version)? v?3( 0)? or (at your option )?(any )?later( version)?"),
     ("gpl", "general", r"(gnu )?general public license"),
     ("isc", "isc", r"isc license"),
-    ("lgpl", "lesser", r"(gnu )?(lesser|library) general public license( version)?( v?[23])?( [01])?( or (any )?later( version)?)?"),
+    ("lgpl", "lesser|library", r"(gnu )?(lesser|library) general public license( version)?( v?[23])?( [01])?( or (any )?later( version)?)?"),
     ("lppl-1.3c", "latex", r"latex project public license( version)?( 1)?( 3c?)?"),
     ("mit", "mit", r"mit license"),
     ("mpl-1.1", "mozilla", r"mozilla public license( version)? 1 1"),
@@ -91,7 +91,7 @@ FORMS = (
     (75, r"under (the )?(terms (and conditions )?of )?(the )?", r""),
     (50, r"", r""),
 )
-#: Notices that name no licence: label, keyword, priority, words.
+#: Notices that name no licence: label, keywords, priority, words.
 NOTICES = (
     ("mit", "granted", 70, r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", "fee", 70, r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
@@ -104,11 +104,8 @@ NOTICES = (
     ("public-domain", "domain", 40, r"public domain"),
     ("no-commercial-use", "commercial", 60, r"(for )?non commercial use only|no commercial use( allowed| permitted)?|not for commercial use"),
     ("no-redistribution", "permission", 60, r"(may not|must not|do not) (copy|reproduce|redistribute) without( prior)?( written)? permission"),
-    ("warranty-disclaimer", "warranty", 55, r"(provided|distributed) (on an )?as is( basis)?( without warranty of any kind)?"),
-    ("reserved", "reserved", 45, r"all rights reserved|alle rechte vorbehalten|tous droits r[^ ]+serv[^ ]+s|todos los derechos reservados"),
-    ("reserved", "vorbehalten", 45, r"alle rechte vorbehalten"),
-    ("reserved", "droits", 45, r"tous droits réservés"),
-    ("reserved", "derechos", 45, r"todos los derechos reservados"),
+    ("warranty-disclaimer", "provided|distributed", 55, r"(provided|distributed) (on an )?as is( basis)?( without warranty of any kind)?"),
+    ("reserved", "reserved|vorbehalten|droits|derechos", 45, r"all rights reserved|alle rechte vorbehalten|tous droits r[^ ]+serv[^ ]+s|todos los derechos reservados"),
     ("copyright", "copyright", 30, r"copyright( c)?( by)? (19|20)[0-9]{2}( (19|20)[0-9]{2})?( by)?"),
     ("copyright", "copyright", 20, r"copyright"),
 )
@@ -117,7 +114,7 @@ SPDX = ("mit", "isc", "zlib", "unlicense", "wtfpl", "ncsa", "openssl", "postgres
 
 
 def rules() -> list[tuple[int, str, str, int, str]]:
-    """(order, label, keyword, priority, regex) of all rules, several hundred."""
+    """(order, label, keywords, priority, regex) of all rules, several hundred."""
     out = []
     for label, key, name in FAMILIES:
         for priority, before, after in FORMS:
@@ -145,7 +142,7 @@ def _spans(text: Column, rule: Column) -> Column:
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), table: list[tuple[int, str, str, int, str]] | None = None) -> DataFrame:
     """``keep`` columns, n_words, base (array of (at, label)), detections (surviving rule matches)."""
     table = table or rules()
-    keys = sorted({r[2] for r in table})
+    keys = sorted({k for r in table for k in r[2].split("|")})
     rows = docs.select(*keep, words(F.col("text")).alias("w"))
     starts = []
     for phrase, label in BASE:
@@ -155,8 +152,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), table: list[tuple
     rows = rows.withColumn("base", F.expr(f"concat({', '.join(starts)})"))
     gate = F.arrays_overlap("w", F.array(*[F.lit(k) for k in keys]))
     rows = rows.select(*keep, F.size("w").cast("long").alias("n_words"), "base", F.when(gate, F.array_intersect("w", F.array(*[F.lit(k) for k in keys]))).alias("keys"), F.when(gate, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))).alias("norm"))
-    structs = ", ".join(f"named_struct('ord', {o}, 'label', '{label}', 'keyword', '{key}', 'priority', {pri}, 'regex', r'{regex}')" for o, label, key, pri, regex in table)
-    live = F.filter(F.expr(f"array({structs})"), lambda r: F.array_contains(F.col("keys"), r["keyword"]))
+    structs = ", ".join(f"named_struct('ord', {o}, 'label', '{label}', 'keywords', split('{key}', '[|]'), 'priority', {pri}, 'regex', r'{regex}')" for o, label, key, pri, regex in table)
+    live = F.filter(F.expr(f"array({structs})"), lambda r: F.arrays_overlap(F.col("keys"), r["keywords"]))
     hits = F.flatten(F.transform(live, lambda r: _spans(F.col("norm"), r)))
     rows = rows.withColumn("hits", F.when(F.col("norm").isNotNull(), hits))
 

@@ -199,6 +199,41 @@ def test_licenses(spark, docs):
     assert 300 < len(license_scan.rules()) < 500
 
 
+def samples(tree, rng):
+    """A text that a parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "NOT_LITERAL":
+            out += "é"
+        elif op == "IN":
+            kind, x = rng.choice(arg)
+            out += "é" if str(arg[0][0]) == "NEGATE" else chr(x if str(kind) == "LITERAL" else rng.randint(*x))
+        elif op == "BRANCH":
+            out += samples(rng.choice(arg[1]), rng)
+        elif op == "SUBPATTERN":
+            out += samples(arg[3], rng)
+        elif op == "MAX_REPEAT":
+            out += "".join(samples(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        else:
+            assert op in ("ASSERT",), op
+    return out
+
+
+def test_license_gates(spark):
+    """No text that a rule matches lacks all its keywords."""
+    rng = random.Random(8)
+    for _, label, keys, _, regex in license_scan.rules():
+        for _ in range(60):
+            text = samples(re._parser.parse(regex), rng)
+            assert re.search(regex, f" {text} ") and set(text.split()) & set(keys.split("|")), (label, text)
+    rows = {1: ("GNU Library General Public License version 2", "lgpl"), 2: ("provided as is", "warranty-disclaimer"), 3: ("distributed on an AS IS basis, without warranties or conditions of any kind", "warranty-disclaimer"), 4: ("TOUS DROITS RÉSERVÉS", "reserved"), 5: ("Alle Rechte vorbehalten", "reserved"), 6: ("Todos los derechos reservados", "reserved")}
+    for r in license_scan.scan(spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id long, text string")).collect():
+        assert rows[r["doc_id"]][1] in {d["label"] for d in r["detections"]}, r
+
+
 def test_language(spark):
     src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = {r["doc_id"]: r["lang"] for r in src.collect()}
