@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,8 +17,11 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Small lookup tables are broadcast up to this many rows, else joined by a shuffle.
+#: Small lookup tables are broadcast up to this many rows and bytes, else joined by a shuffle.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 64 << 20
+#: Elements that one step of a running total copies at most.
+_STEP = 256
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +29,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local default where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexiloom_scratch").rstrip("/")
+    """The shared folder of the cluster. Where none is set a session of one machine gets a folder of its own; a cluster gets an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="scratch-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
@@ -41,9 +51,42 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it is small, else unchanged."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows and their bytes, counted, are few, else unchanged."""
+    width = F.lit(0)
+    for c in df.columns:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
+
+
+def running(x: Column, op: str = "sum") -> Column:
+    """Of an int array, the sum (or the largest, from 0) of what stands before each element, with that of all at the end.
+
+    In steps of _STEP elements, so that a long array isn't copied for each of its elements.
+    """
+    both = (lambda a, b: a + b) if op == "sum" else (lambda a, b: F.greatest(a, b))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / _STEP).cast("int")), lambda k: F.slice(x, k * _STEP + 1, _STEP))
+    scan = lambda c: F.aggregate(c, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(both(F.element_at(a, -1), v))))
+    inner = F.transform(chunks, scan)
+    return F.flatten(F.transform(F.arrays_zip(inner.alias("i"), scan(F.transform(inner, lambda c: F.element_at(c, -1))).alias("o")), lambda z, k: F.transform(
+        # the last total of a chunk is the first of the next one
+        F.when(k < F.floor(F.size(x) / _STEP), F.slice(z["i"], 1, _STEP)).otherwise(F.coalesce(z["i"], F.expr("array_repeat(0, 0)"))), lambda v: both(z["o"], v))))
+
+
+def unique_keys(docs: DataFrame, id_col: str, label: str) -> DataFrame:
+    """(key, row): ``row`` has all columns of ``docs``; ``key`` tells the rows apart.
+
+    A row's key is its id; rows whose id is null or shared get keys of their own after all ids. Only those are written.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    odd = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1 or key is null").select(F.col("key").alias("k")), f"{label}-odd")
+    if odd.isEmpty():
+        return rows
+    odd, same = small(odd), F.col("key").eqNullSafe(F.col("k"))
+    top = rows.agg(F.coalesce(F.max("key"), F.lit(0))).first()[0]
+    apart = materialize(rows.join(odd, same, "left_semi").withColumn("key", F.monotonically_increasing_id() + F.lit(top + 1)), f"{label}-keys")
+    return rows.join(odd, same, "left_anti").unionByName(apart)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -98,7 +141,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates two contractions, each one group-by with pre-aggregation: neighbours that are
     larger are linked to the smallest neighbour, then smaller ones. A node's rows never have to
-    be held together. Each round is written to the shared folder; it ends when a round changes nothing.
+    be held together: the smallest neighbours are written before they are joined, so that a join's hot node
+    can be split. Each round is written to the shared folder; it ends when a round changes nothing.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     state = None
@@ -109,9 +153,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = seen
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = small(materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low"))
         big = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = big.union(low.filter("m < u").select("u", "m")).filter("u <> v").distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
+        star = materialize(big.union(low.filter("m < u").select("u", "m")).filter("u <> v").distinct(), "cc-star")
+        low = small(materialize(star.groupBy("u").agg(F.min("v").alias("m")), "cc-low"))
         near = star.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = low.union(near).select(F.greatest("u", "m").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
