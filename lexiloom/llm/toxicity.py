@@ -1,13 +1,16 @@
 """Toxicity: a learned lexicon, misspelt terms by Levenshtein automata, and context windows.
 
+Texts are read as one byte a character: ASCII folded to lower case, marks and blanks as they are, letters
+beyond ASCII folded into 128 values, so that an edit is an edit of a letter in every script.
 Words and stems whose documents are mostly toxic become the lexicon. Its trie is intersected with
-Levenshtein automata (distance 1 for words of at least FUZZY_FROM bytes, 0 for shorter words
+Levenshtein automata (distance 1 for words of at least FUZZY_FROM letters, 0 for shorter words
 and for stems) and the product is made deterministic, so that a word is looked up in one walk that most
-words leave after two or three bytes. Each hit is weighed by its window: hits between quotation marks count as quotation,
-hits with others nearby as abuse. A logistic regression over these counts gives the score.
+words leave after two or three letters. Each hit is weighed by its window: hits between an opening quotation mark and
+the closing one of its kind on the same line count as quotation, hits with others nearby as abuse.
+A logistic regression over these counts gives the score.
 
 The model is fitted on a bounded sample: the ``max_train`` labelled documents with the smallest md5 of their
-id; the lexicon has at most ``max_terms`` entries. Scoring reads every whole text.
+id. All that they say is counted, however they are dealt to tasks. Scoring reads every whole text.
 
 Defined results: null and empty texts have no hits and get the score of a text without hits. Rows
 with a null label aren't learnt from; of repeated labels the largest counts. Without training rows every
@@ -25,29 +28,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, byte_view, read, slices
+from .common import bucket, byte_view, materialize, read, slices
 
 MAX_TRAIN = 12_000
-MAX_TERMS = 400
 FUZZY_FROM = 5
-STEM_FROM, STEM_TO = 5, 10  # bytes of a stem
+STEM_FROM, STEM_TO = 5, 10  # letters of a stem
 MIN_TOXIC = 5  # toxic training documents with a term
 MIN_RATIO = 12.0  # how much likelier toxic documents have it
-WINDOW = 60  # bytes on either side of a hit
+WINDOW = 60  # characters on either side of a hit
 N_FEATURES = 6
+TASKS = 8  # that count the training sample
 _LIMIT = 2 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
-_QUOTE = np.zeros(256, bool)
-_QUOTE[[34, 0x9C, 0x9D, 0xAB, 0xBB]] = True  # last bytes of the double quotation marks, too
+#: Code points of opening and closing quotation marks; the first pair's mark opens and closes.
+QUOTES = ((0x22, 0x22), (0x201C, 0x201D), (0x201E, 0x201C), (0xAB, 0xBB), (0x2039, 0x203A))
+#: First and last code points of blocks of marks beyond ASCII.
+MARKS = ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0x2000, 0x206F), (0x3000, 0x303F))
+
+
+def symbols(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, code points, offsets) of rows of UTF-8 bytes, one of each a character."""
+    head = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    code = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    out = np.where(code < 128, code, 128 + code % 128).astype(np.uint8)
+    far = code >= 128
+    if far.any():
+        for a, b in MARKS:
+            out[far & (code >= a) & (code <= b)] = 32
+    return _FOLD[out], code, head[off]
+
+
+def quoted(code: np.ndarray, off: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each position lies between an opening mark and a closing one of its kind on its line."""
+    out = np.zeros(len(at), bool)
+    breaks = np.union1d(off, np.flatnonzero(code == 10))
+    line = np.searchsorted(breaks, at, "right")
+    begin, end = breaks[line - 1], np.append(breaks, len(code))[line]
+    for left, right in QUOTES:
+        a = np.concatenate([[0], np.cumsum(code == left)])
+        b = np.concatenate([[0], np.cumsum(code == right)]) if left != right else a
+        if a[-1] and b[-1]:
+            opened = a[at] - a[begin]
+            opened = opened % 2 if left == right else opened - (b[at] - b[begin])
+            out |= (opened > 0) & (b[end] > b[at])
+    return out
 
 
 def _words(text: bytes) -> set[bytes]:
-    raw = _FOLD[np.frombuffer(text, np.uint8)]
-    return set(np.where(_LETTER[raw], raw, np.uint8(32)).tobytes().split())
+    raw = np.frombuffer(text, np.uint8)
+    sym = symbols(raw, np.array([0, len(raw)]))[0]
+    return set(np.where(_LETTER[sym], sym, np.uint8(32)).tobytes().split())
 
 
 def _entries(found: set[bytes]) -> set[bytes]:
@@ -55,29 +89,30 @@ def _entries(found: set[bytes]) -> set[bytes]:
     return found | {w[:n] + b"*" for w in found for n in range(STEM_FROM, min(len(w), STEM_TO + 1))}
 
 
-def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int, max_terms: int) -> list[tuple[bytes, float]]:
-    """(entry, log ratio) of the lexicon. rows: (toxic, text)."""
+def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[bytes, float]]:
+    """(entry, log ratio) of the lexicon. rows: (toxic, text). What toxic documents hold is counted first, and only that in clean ones."""
+
+    def counter(of_toxic: bool, among):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter[bytes] = Counter()
+            known = among.value if among else None
+            for b in batches:
+                for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if bool(y) == of_toxic:
+                        entries = _entries(_words((text or "").encode()))
+                        seen.update(entries if known is None else entries & known)
+            names = list(seen)
+            yield pa.RecordBatch.from_pydict({"entry": pa.array(names, pa.binary()), "n": pa.array([seen[k] for k in names], pa.int64())})
+
+        return rows.filter("toxic > 0" if of_toxic else "toxic <= 0").mapInArrow(count, "entry binary, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic: Counter[bytes] = Counter()
-        held: list[tuple[int, str]] = []
-        for b in batches:
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-        for y, text in held:
-            if y:
-                toxic.update(_entries(_words((text or "").encode())))
-        clean: Counter[bytes] = Counter()
-        for y, text in held:
-            if not y:
-                clean.update(_entries(_words((text or "").encode())))
-        names = list(toxic.keys() | {k for k, n in clean.items() if n > 1 or k in toxic})
-        yield pa.RecordBatch.from_pydict({"entry": pa.array(names, pa.binary()), "t": pa.array([toxic[k] for k in names], pa.int64()), "c": pa.array([clean[k] for k in names], pa.int64())})
-
-    n = rows.mapInArrow(count, "entry binary, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    ratio = ((F.col("t") + 0.5) / (n_toxic + 1)) / ((F.col("c") + 0.5) / (n_clean + 1))
     least = max(MIN_TOXIC, n_toxic // 200)
-    best = n.withColumn("r", ratio).filter((F.col("t") >= least) & (F.col("r") >= MIN_RATIO))
-    rows_found = best.orderBy(F.desc(F.col("t") * F.log("r")), "entry").limit(10 * max_terms).collect()
+    toxic = {bytes(r["entry"]): r["n"] for r in counter(True, None).filter(F.col("n") >= least).collect()}  # of the bounded sample
+    among = rows.sparkSession.sparkContext.broadcast(frozenset(toxic))
+    clean = {bytes(r["entry"]): r["n"] for r in counter(False, among).collect()}
+    ratio = {k: (n + 0.5) / (n_toxic + 1) / ((clean.get(k, 0) + 0.5) / (n_clean + 1)) for k, n in toxic.items()}
+    best = sorted((k for k, r in ratio.items() if r >= MIN_RATIO), key=lambda k: (-toxic[k] * np.log(ratio[k]), k))
+    rows_found = [{"entry": k, "r": ratio[k], "t": toxic[k]} for k in best]
     found = {bytes(x["entry"]): float(np.log(x["r"])) for x in rows_found}
     docs_with = {bytes(x["entry"]): x["t"] for x in rows_found}
     # a stem of which one word has most documents says no more than the word
@@ -91,7 +126,7 @@ def learn_terms(rows: DataFrame, n_toxic: int, n_clean: int, max_terms: int) ->
         stem_above = any(base[:n] in short for n in range(STEM_FROM, len(base) + (not k.endswith(b"*"))))
         if (k.endswith(b"*") and base in short) or (not k.endswith(b"*") and not stem_above):
             kept[k] = r
-    return list(kept.items())[:max_terms]
+    return list(kept.items())
 
 
 @dataclass
@@ -213,22 +248,19 @@ def hits(raw: np.ndarray, off: np.ndarray, auto: Automaton) -> tuple[np.ndarray,
 
 def features(raw: np.ndarray, off: np.ndarray, auto: Automaton, weight: np.ndarray) -> np.ndarray:
     """Rows x N_FEATURES: plain hits, misspelt hits, quoted hits, clustered hits, weight, hits by length."""
-    raw = _FOLD[raw]
+    raw, code, off = symbols(raw, off)
     at, entry, fuzzy, first = hits(raw, off, auto)
     row = np.searchsorted(off, at, "right") - 1
-    marks = np.concatenate([[0], np.cumsum(_QUOTE[raw])])
-    before = marks[at] - marks[np.maximum(at - WINDOW, off[row])]
-    after = marks[np.minimum(at + WINDOW, off[row + 1])] - marks[at]
-    quoted = (before > 0) & (after > 0)
+    cited = quoted(code, off, at)
     near = np.zeros(len(at), bool)
     close = (np.diff(at) < WINDOW) & (np.diff(row) == 0)
     near[:-1] |= close
     near[1:] |= close
     n = len(off) - 1
     total = lambda x: np.bincount(row, weights=x, minlength=n)
-    plain, bad = total(~fuzzy & ~quoted), total(fuzzy & ~quoted)
+    plain, bad = total(~fuzzy & ~cited), total(fuzzy & ~cited)
     words = np.maximum(np.diff(first), 1)
-    return np.log1p(np.stack([plain, bad, total(quoted), total(near & ~quoted), total(weight[entry] * ~quoted), 100 * (plain + bad) / words], axis=1))
+    return np.log1p(np.stack([plain, bad, total(cited), total(near & ~cited), total(weight[entry] * ~cited), 100 * (plain + bad) / words], axis=1))
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -251,7 +283,7 @@ class Model:
 
 def _scan(docs: DataFrame, auto: Automaton, weight: np.ndarray, coef: np.ndarray | None, keep: list[str]) -> DataFrame:
     """``keep`` columns with the features, or with the score if ``coef`` is given."""
-    shared = docs.sparkSession.sparkContext.broadcast((auto.step, auto.entry, auto.fuzzy, auto.absorbing, weight, coef))  # bounded by MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast((auto.step, auto.entry, auto.fuzzy, auto.absorbing, weight, coef))  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *tables, weight, coef = shared.value
@@ -272,19 +304,18 @@ def _scan(docs: DataFrame, auto: Automaton, weight: np.ndarray, coef: np.ndarray
     return rows.mapInArrow(run, fields + (", score double" if coef is not None else ", score array<double>"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_terms: int = MAX_TERMS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
     """``labels``: (doc_id, toxic) to learn from."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.md5(F.col("id").cast("string")), "id").limit(max_train)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("toxic", "text")  # max_train rows
-    rows = rows.withColumn("toxic", F.col("toxic").cast("int")).coalesce(8).persist()
+    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select(F.col("toxic").cast("int").alias("toxic"), "text")  # max_train rows
+    rows = materialize(rows.repartition(TASKS), "labelled")
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col("toxic") > 0).count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         return None
-    terms = learn_terms(rows, sizes[True], sizes[False], max_terms)
+    terms = learn_terms(rows, sizes[True], sizes[False])
     auto, weight = build([k for k, _ in terms]), np.array([r for _, r in terms] or [0.0])
-    seen = _scan(rows, auto, weight, None, ["toxic"]).toPandas()  # max_train rows
-    rows.unpersist()
+    seen = _scan(rows, auto, weight, None, ["toxic"]).orderBy("toxic", *[F.col("score")[k] for k in range(N_FEATURES)]).toPandas()  # max_train rows, in one order for any layout
     return Model(auto, weight, _fit(np.stack(seen["score"]), (seen["toxic"].to_numpy() > 0).astype(float)))
 
 
