@@ -3,14 +3,14 @@
 Training counts hashed byte n-grams of labelled documents. A document is cut into blocks of
 consecutive n-grams; each block has a likelihood under every language, and
 expectation-maximisation gives the proportions of languages in the document. Language sets of
-growing size, the most likely languages first, compete by penalised likelihood; the prediction is
-the largest share in the chosen set and the score that share.
+growing size, the most likely languages first, compete by penalised likelihood, until a larger set doesn't improve a
+document's any more; the prediction is the largest share in the chosen set and the score that share.
 
 The model is fitted on a bounded sample: of each language the training documents whose hashed id
 falls below a share of ``per_lang`` / their number, which are about ``per_lang``, whole texts. Prediction reads every whole text.
 
 Defined results: null texts and texts without a letter give ``und`` and score 0; texts shorter than
-an n-gram give the first language and score 0.5. Repeated rows are
+an n-gram are filled up with blanks to one, and the score is the language's share of its likelihood. Repeated rows are
 predicted one by one. Without training rows every document is ``und``. Extra columns are ignored.
 """
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bucket, byte_view, read, slices
 
@@ -31,7 +32,6 @@ BITS = 17  # hashed n-grams
 GRAM = 4
 BLOCK = 24  # n-grams of a block
 ROUNDS = 12
-MAX_SET = 3  # languages in a set, at most
 UND = "und"
 _LIMIT = 2 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -106,46 +106,53 @@ def _letters(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return -GRAM * (entropy + ((count > 0).sum(axis=1) - 1) / 2 * np.log(size) / size)
 
 
-def _mixtures(ll: np.ndarray, first: np.ndarray, max_set: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each document with blocks: (language index, share) by EM for sets of 1 to max_set languages, (largest share, log-likelihood) by EM over all."""
+def _mixtures(ll: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document with blocks: (language index, share) by EM for the set chosen, (largest share, log-likelihood) by EM over all."""
     n_docs, k = len(first) - 1, ll.shape[1]
     per = np.diff(first)
-    doc = np.repeat(np.arange(n_docs), per)
     top = ll.max(axis=1, keepdims=True)
     lik = np.exp(np.maximum(ll - top, -60))
 
-    def em(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(allowed: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares and log-likelihoods of the documents ``among``, each with its own set of languages."""
+        n, take = per[among], np.repeat(np.isin(np.arange(n_docs), among), per)
+        part, of = lik[take], np.repeat(np.arange(len(among)), n)
+        begin = np.cumsum(n) - n
         share = allowed / allowed.sum(axis=1, keepdims=True)
         for _ in range(ROUNDS):
-            r = lik * share[doc]
+            r = part * share[of]
             norm = r.sum(axis=1)
             norm[norm == 0] = 1e-300
             r /= norm[:, None]
-            share = np.add.reduceat(r, first[:-1], axis=0) / per[:, None]
-        r = (lik * share[doc]).sum(axis=1)
-        return share, np.add.reduceat(np.log(np.maximum(r, 1e-300)) + top[:, 0], first[:-1])
+            share = np.add.reduceat(r, begin, axis=0) / n[:, None]
+        r = (part * share[of]).sum(axis=1)
+        return share, np.add.reduceat(np.log(np.maximum(r, 1e-300)) + top[take, 0], begin)
 
-    share, total = em(np.ones((n_docs, k)))
+    live = np.arange(n_docs)
+    share, total = em(np.ones((n_docs, k)), live)
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best, at, score = np.full(n_docs, np.inf), np.zeros(n_docs, np.int64), np.zeros(n_docs)
-    for m in range(1, min(max_set, k) + 1):
+    for m in range(1, k + 1):
+        if not len(live):
+            break
         if m == 1:
             s, fit_ll = (rank < 1).astype(float), np.add.reduceat(ll, first[:-1], axis=0)[np.arange(n_docs), order[:, 0]]
         else:
-            s, fit_ll = em((rank < m).astype(float))
-        cost = -2 * fit_ll + (2 * m - 1) * np.log(np.maximum(per, 2)) * 3
-        better = cost < best
-        best[better], at[better], score[better] = cost[better], s[better].argmax(axis=1), s[better].max(axis=1)
+            s, fit_ll = em((rank[live] < m).astype(float), live)
+        cost = -2 * fit_ll + (2 * m - 1) * np.log(np.maximum(per[live], 2)) * 3
+        better = cost < best[live]
+        live, s, cost = live[better], s[better], cost[better]
+        best[live], at[live], score[live] = cost, s.argmax(axis=1), s.max(axis=1)
     return at, score, share.max(axis=1), total
 
 
-def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str], text_col: str = "text", max_set: int = MAX_SET, evidence: bool = False) -> DataFrame:
+def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str], text_col: str = "text", evidence: bool = False) -> DataFrame:
     """``keep`` columns with lang_pred and score appended (clashing names are replaced).
 
     ``evidence`` appends three more: _grams, the n-grams of the text; _share, the largest share of the mixture over
     all languages, which has no lower bound but 1 / their number; _gain, the nats an n-gram by which that mixture explains the text
-    better than letters drawn one by one. Texts shorter than an n-gram have 0, 0.5 and 0.
+    better than letters drawn one by one. Texts shorter than an n-gram have 0, their score and 0.
     """
     added = ["lang_pred", "score", *(["_grams", "_share", "_gain"] if evidence else [])]
     keep = [c for c in keep if c not in added]
@@ -163,13 +170,20 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[st
                     ll, first = _blocks(raw, off[lo : hi + 1], shared.value)
                     has = np.diff(first) > 0
                     if has.any():
-                        ids, share, widest, total = _mixtures(ll, np.concatenate([first[:-1][has], first[-1:]]), max_set)
+                        ids, share, widest, total = _mixtures(ll, np.concatenate([first[:-1][has], first[-1:]]))
                         at = np.flatnonzero(has) + lo
                         pred[at], score[at] = ids, share
                         if evidence:
                             broad[at], gain[at] = widest, total / grams[at] - _letters(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[has]
-                bare = lettered & (pred < 0)  # fewer bytes than an n-gram: no evidence
-                pred[bare], score[bare] = 0, 0.5
+                bare = np.flatnonzero(lettered & (pred < 0))  # fewer bytes than an n-gram
+                if len(bare):
+                    filled = np.full((len(bare), GRAM), 32, np.uint8)
+                    for r, k in enumerate(bare):
+                        filled[r, : off[k + 1] - off[k]] = raw[off[k] : off[k + 1]]
+                    odds = shared.value[_codes(filled.ravel())[::GRAM]].astype(float)
+                    odds = np.exp(odds - odds.max(axis=1, keepdims=True))
+                    pred[bare], score[bare] = odds.argmax(axis=1), (odds / odds.sum(axis=1, keepdims=True)).max(axis=1)
+                    broad[bare] = score[bare]
             names = np.array([*langs, UND], dtype=object)
             pred[~lettered], score[~lettered] = -1, 0.0
             cols = [b.column(k) for k in range(b.num_columns - 1)]
@@ -177,8 +191,8 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[st
             yield pa.RecordBatch.from_arrays([*cols, *out[: len(added)]], names=[*b.schema.names[:-1], *added])
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, fields + ", lang_pred string, score double" + (", _grams long, _share double, _gain double" if evidence else ""))
+    fields = StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, fields.add("_grams", "long").add("_share", "double").add("_gain", "double") if evidence else fields)
 
 
 def language_id(docs: DataFrame, train: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
