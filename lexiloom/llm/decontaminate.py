@@ -1,10 +1,11 @@
 """Benchmark decontamination with SQL functions.
 
-The windows of the benchmark texts (runs of ``size`` words; a shorter text is one window) are a hash
-set that travels with the plan; each position of a document is probed: first its word among the
-first words of windows, then the hash of the run. Hits are verified by joining the run's words with
-the windows' words. If the windows outnumber ``max_windows``, which bounds the set, the runs' hashes
-are joined by a shuffle instead. Results are the words covered by verified runs and the items.
+The windows of the benchmark texts (runs of ``size`` words; a shorter text is one window) are a broadcast hash
+set; each position of a document is probed for its run, and only hits leave the scan. Up to ``max_windows``, the set is exact and travels with
+the plan, and a position is asked for its word among the first words of windows before its run is hashed.
+Beyond, it is a bitmap of PER_WINDOW bits and more a window, which lets one position in PER_WINDOW through at most, up to
+MAX_BITS. Either way hits are verified by joining the run's words with the windows' words, which is
+exact: the set's size changes what is shuffled and no result. Results are the words covered by verified runs and the items.
 
 Defined results: null text has no words, and an item without words has no window. Repeated rows get
 equal results. An empty benchmark leaves every document clean. Extra columns are ignored.
@@ -19,6 +20,8 @@ from .common import WORD, ascii_lower, materialize, read, small, words
 
 SIZE = 10
 MAX_WINDOWS = 50_000
+PER_WINDOW = 32  # bits of the bitmap
+MAX_BITS = 1 << 30  # 128 MB
 NONE_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # of an empty string
 
 
@@ -31,20 +34,29 @@ def windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str
 
 
 def _hits(lens: list[int], heads: dict[int, list[str]] | None, hashes: dict[int, list[int]] | None) -> Column:
-    """Array of (pos, len, hash) where a run may be a window."""
+    """Array of (pos, len, run) where a run is in the set: the literal one, or the column ``bits`` if there is none."""
     parts = []
     for n in lens:
         run = f"xxhash64(slice(w, i, {n}))"
-        probe = ""
         if hashes is not None:
             quoted = ", ".join("'" + h + "'" for h in heads[n])
             probe = f"get(w, i - 1) in ({quoted}) and {run} in ({', '.join(f'{x}L' if x > -(2**63) else 'bigint(-9223372036854775808)' for x in hashes[n])})"
-        at = f"sequence(1, size(w) - {n} + 1)"
-        at = f"filter({at}, i -> {probe})" if probe else at
-        parts.append(f"transform({at}, i -> struct(i as pos, {n} as len, {run} as hash))" if not n else f"if(size(w) < {n}, array(), transform({at}, i -> named_struct('pos', i, 'len', {n}, 'hash', {run})))")
+        else:
+            probe = f"exists(array(pmod({run}, 64L * size(bits))), h -> getbit(get(bits, cast(h div 64 as int)), cast(h % 64 as int)) = 1)"
+        at = f"filter(sequence(1, size(w) - {n} + 1), i -> {probe})"
+        parts.append(f"if(size(w) < {n}, array(), transform({at}, i -> named_struct('pos', i, 'len', {n}, 'run', array_join(slice(w, i, {n}), ' '))))")
     return F.expr(f"concat({', '.join(parts)})")
 
 
+def _bitmap(wins: DataFrame, n: int) -> DataFrame:
+    """One row: ``bits``, 64 in a number, of the windows' hashes."""
+    size = 1 << min(MAX_BITS.bit_length() - 1, max(16, (PER_WINDOW * n - 1).bit_length()))  # at most MAX_BITS
+    at = F.pmod("hash", F.lit(size))
+    words_ = wins.select(F.floor(at / 64).cast("int").alias("k"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
+    filled = wins.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("k")).join(words_, "k", "left").select("k", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "b"))), lambda x: x["b"]).alias("bits"))
+
+
 def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int = MAX_WINDOWS, keep: tuple[str, ...] = ("doc_id",), item_col: str = "item_id") -> DataFrame:
     """``keep`` columns, n_words, hit_at (sorted word positions from 0), item_ids (sorted strings)."""
     wins = materialize(windows(items, size, item_col), "windows")
@@ -52,24 +64,17 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, max_windows: int =
     lens = sorted(r[0] for r in wins.select("len").distinct().collect())  # 1 to size, at most
     if not lens:
         return rows.select(*keep, "n_words", F.expr("array_repeat(0, 0)").alias("hit_at"), F.expr("array_repeat('', 0)").alias("item_ids"))
-    few = wins.limit(max_windows + 1).count() <= max_windows
-    if few:
+    n = wins.count()
+    if n <= max_windows:
         found = wins.select("len", "head", "hash").collect()
         heads = {n: sorted({r["head"] for r in found if r["len"] == n}) for n in lens}
         hashes = {n: sorted({r["hash"] for r in found if r["len"] == n}) for n in lens}
         rows = rows.withColumn("hits", _hits(lens, heads, hashes))
     else:
-        rows = rows.withColumn("hits", _hits(lens, None, None))
-    # only the words of the hits stay, and in the shuffled form the words, for the join to come
-    if few:
-        run = F.transform("hits", lambda h: F.struct(h["pos"].alias("pos"), h["len"].alias("len"), F.array_join(F.slice("w", h["pos"], h["len"]), " ").alias("run")))
-        rows = materialize(rows.withColumn("hits", run).drop("w").withColumn("_row", F.monotonically_increasing_id()), "scan")
-        hits = rows.select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
-    else:
-        rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "scan")
-        probes = rows.select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
-        probes = probes.join(wins.select("len", "hash").distinct(), ["len", "hash"], "left_semi").select("_row", "pos", "len")
-        hits = probes.join(rows.select("_row", "w"), "_row").select("_row", "pos", "len", F.array_join(F.expr("slice(w, pos, len)"), " ").alias("run"))
+        rows = rows.crossJoin(F.broadcast(materialize(_bitmap(wins, n), "bitmap"))).withColumn("hits", _hits(lens, None, None))  # one row of MAX_BITS at most
+    # only the words of the hits stay, for the join to come
+    rows = materialize(rows.select(*keep, "n_words", "hits", F.monotonically_increasing_id().alias("_row")), "scan")
+    hits = rows.select("_row", F.explode("hits").alias("h")).select("_row", "h.*")
     hits = hits.join(small(wins.select("len", "run", "item_id")), ["len", "run"])
     per = hits.groupBy("_row").agg(F.collect_set(F.struct("pos", "len")).alias("p"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.expr("transform(p, x -> sequence(x.pos - 1, x.pos + x.len - 2))"))))
