@@ -13,7 +13,8 @@ of chunks is a task of its own. Components of the links are found by contraction
 With 64 bands of 8 registers a pair at similarity 0.85 is missed with probability below 2e-9, one at 0.8 below 1e-5.
 
 Defined results: null, empty and white-space texts have no shingles, are linked with nothing and
-kept. Repeated rows are one class, and each of them has the same component. Rows with a null doc_id
+kept. Repeated rows are one class, and each of them has the same component. Rows that share an id and not the
+text are documents of their own, each linked by its own text; a component is named by its smallest id. Rows with a null doc_id
 get a null component and are kept. Extra columns are ignored.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_view, components, materialize, mix64, read, slices, small
+from .common import byte_view, components, materialize, mix64, read, slices, small, unique_keys
 
 SHINGLE = 5
 BANDS, ROWS = 64, 8
@@ -203,11 +204,16 @@ def _verify(percent: int):
 
 def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links at 100 * intersection >= percent * union."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialize(src.mapInArrow(_sketches, "doc_id long, n long, c1 long, c2 long, bands array<long>"), "sketches")
+    keyed = unique_keys(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null"), "doc_id", "near")
+    src = keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))
+    none = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sets = materialize(src.union(none).mapInArrow(_sketches, "doc_id long, n long, c1 long, c2 long, bands array<long>"), "sketches")
     ids = sets.filter("n > 0 and doc_id is not null")
-    classes = ids.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"))
-    reps = ids.join(classes, [ids.n.eqNullSafe(classes.n), ids.c1 == classes.c1, ids.c2 == classes.c2, ids.doc_id == classes.rep], "left_semi").dropDuplicates(["doc_id"])
+    # classes of two and more are few beside the documents, and a table of their own: a hot class is split by the join
+    classes = materialize(ids.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).filter("m > 1").select(F.col("n").alias("n_"), F.col("c1").alias("c1_"), F.col("c2").alias("c2_"), "rep"), "classes")
+    classes = small(classes)
+    same = (F.col("n") == F.col("n_")) & (F.col("c1") == F.col("c1_")) & (F.col("c2") == F.col("c2_"))
+    reps = ids.join(classes, same, "left").filter("rep is null or rep = doc_id")
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("band", "low")
     chain = materialize(rows.join(shared, "band").filter("doc_id > low").select("doc_id", "low").distinct(), "chain")
@@ -215,6 +221,7 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     blocks = blocks.union(blocks.select(F.col("block").alias("id"), "block").distinct())
 
     sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
+    sizes = small(materialize(sizes, "sizes"))
     blocks = blocks.join(sizes, "block").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     blocks = blocks.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
@@ -222,17 +229,26 @@ def near_dedup(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     packs = F.pmod(F.xxhash64("block"), F.lit(max(24, PACK * blocks.count() // 1_000_000)))
     pairs = pairs.withColumn("task", F.when(F.col("chunks") > 1, F.concat_ws(":", "block", "x", "y")).otherwise(packs.cast("string")))
     pairs = materialize(pairs.select("id", "block", "chunk", "x", "y", "task"), "tasks")
-    texts = src.join(small(pairs.select("id").distinct()), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    texts = src.join(small(pairs.select("id").distinct()), F.col("doc_id") == F.col("id"), "left_semi")
     loaded = materialize(texts.mapInArrow(_load, "doc_id long, grams binary, sketch binary"), "sets")
     work = loaded.join(pairs, F.col("doc_id") == F.col("id")).drop("id")
     links = materialize(work.groupBy("task").applyInPandas(_verify(percent), "u long, v long"), "links")
     joined = components(links, "u", "v")
 
-    named = sets.join(classes.select(F.col("n").alias("n_"), F.col("c1").alias("c1_"), F.col("c2").alias("c2_"), "rep"), (F.col("n") == F.col("n_")) & (F.col("c1") == F.col("c1_")) & (F.col("c2") == F.col("c2_")), "left")
-    named = named.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
+    named = sets.select("doc_id", "n", "c1", "c2").join(classes, same & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     named = named.join(small(joined), F.col("rep") == F.col("node"), "left")
-    named = named.withColumn("component_id", F.coalesce("component", "rep"))
-    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    return _real_ids(named, keyed).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _real_ids(named: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``named`` with ids in place of the keys that rows with a shared id have."""
+    odd = materialize(keyed.filter("key <> row.doc_id").select("key", F.col("row.doc_id").alias("real")), "shared")
+    if odd.isEmpty():
+        return named
+    named = materialize(named.join(small(odd), F.col("doc_id") == F.col("key"), "left").select(F.coalesce("real", "doc_id").alias("doc_id"), "n_shingles", "component_id"), "named")
+    least = materialize(named.filter("doc_id is not null").groupBy(F.col("component_id").alias("c")).agg(F.min("doc_id").alias("least")).filter("c <> least"), "least")
+    return named.join(small(least), F.col("component_id") == F.col("c"), "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
