@@ -60,18 +60,26 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES
     return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of a value that is computed once. Inside a lambda Spark computes an outer expression anew for each element."""
+    return F.transform(F.array(x), f)[0]
+
+
 def running(x: Column, op: str = "sum") -> Column:
     """Of an int array, the sum (or the largest, from 0) of what stands before each element, with that of all at the end.
 
     In steps of _STEP elements, so that a long array isn't copied for each of its elements.
     """
     both = (lambda a, b: a + b) if op == "sum" else (lambda a, b: F.greatest(a, b))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / _STEP).cast("int")), lambda k: F.slice(x, k * _STEP + 1, _STEP))
     scan = lambda c: F.aggregate(c, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(both(F.element_at(a, -1), v))))
-    inner = F.transform(chunks, scan)
-    return F.flatten(F.transform(F.arrays_zip(inner.alias("i"), scan(F.transform(inner, lambda c: F.element_at(c, -1))).alias("o")), lambda z, k: F.transform(
+    cut = lambda y: F.transform(F.sequence(F.lit(0), F.floor(F.size(y) / _STEP).cast("int")), lambda k: scan(F.slice(y, k * _STEP + 1, _STEP)))
+
+    def shift(inner: Column) -> Column:
         # the last total of a chunk is the first of the next one
-        F.when(k < F.floor(F.size(x) / _STEP), F.slice(z["i"], 1, _STEP)).otherwise(F.coalesce(z["i"], F.expr("array_repeat(0, 0)"))), lambda v: both(z["o"], v))))
+        zipped = F.arrays_zip(inner.alias("i"), F.slice(scan(F.transform(inner, lambda c: F.element_at(c, -1))), F.lit(1), F.size(inner)).alias("o"))
+        return F.flatten(F.transform(zipped, lambda z: F.transform(F.slice(z["i"], F.lit(1), F.least(F.size(z["i"]), F.lit(_STEP))), lambda v: both(z["o"], v))))
+
+    return let(x, lambda y: let(cut(y), shift))
 
 
 def unique_keys(docs: DataFrame, id_col: str, label: str) -> DataFrame:
