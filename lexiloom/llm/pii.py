@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, running, small
+from .common import let, materialize, read, running, small
 
 #: The kinds' patterns. Possessive where nothing can be given back, so that they
 #: match the same and long runs cost no backtracking; \G lets a match start where the last one ended.
@@ -78,9 +78,14 @@ _NONE = "cast(array() as array<struct<start:int,end:int,text:string>>)"
 def spans(text: Column, pattern: str | Column) -> Column:
     """(start, end, text) of a pattern's matches, leftmost and without overlaps, in code points."""
     zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    zipped = F.filter(zipped, lambda x: x["m"].isNotNull())
-    before = running(F.transform(zipped, lambda x: F.char_length(x["p"]) + F.char_length(x["m"])))
-    return F.transform(zipped, lambda x, i: F.struct((F.get(before, i) + F.char_length(x["p"])).alias("start"), (F.get(before, i + 1)).alias("end"), x["m"].alias("text")))
+
+    def place(z: Column) -> Column:
+        sized = F.transform(z, lambda x: F.struct(F.char_length(x["p"]).alias("gap"), F.char_length(x["m"]).alias("width"), x["m"].alias("text")))
+        before = running(F.transform(z, lambda x: F.char_length(x["p"]) + F.char_length(x["m"])))
+        both = F.arrays_zip(sized.alias("s"), F.slice(before, F.lit(1), F.size(z)).alias("at"))
+        return F.transform(both, lambda x: F.struct((x["at"] + x["s"]["gap"]).alias("start"), (x["at"] + x["s"]["gap"] + x["s"]["width"]).alias("end"), x["s"]["text"].alias("text")))
+
+    return let(F.filter(zipped, lambda x: x["m"].isNotNull()), place)
 
 
 def _check(kind: str):
@@ -167,8 +172,8 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "
     out = found.join(small(here), F.col("_row") == F.col("_r"), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L}\p{N}{0,30})(?:"), F.col("_any"), F.lit(r")(?![\p{L}\p{N}])"))
     out = out.withColumn("_terms", F.when(F.col("_any").isNotNull(), spans(F.col("_text"), pattern)))
-    inside = lambda t: F.exists(F.concat(*[F.col(f"_{k}") for k in names]), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    out = out.withColumn("_term", F.filter(F.coalesce("_terms", F.expr(_NONE)), lambda t: ~inside(t)))
+    free = lambda base: F.filter(F.coalesce("_terms", F.expr(_NONE)), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    out = out.withColumn("_term", let(F.concat(*[F.col(f"_{k}") for k in names]), free))
     # a row of its own, so that what follows doesn't find the spans once more
     out = out.withColumn("_clean", F.when(F.greatest(*[F.size(f"_{k}") for k in [*names, "term"]]) > 0, sanitize(F.col("_text"), *[F.col(f"_{k}") for k in [*names, "term"]])).otherwise(F.col("_text")))
     return out.select("_kept.*", *[F.col(f"_{k}").alias(k) for k in [*names, "term"]], F.col("_clean").alias("clean"))
