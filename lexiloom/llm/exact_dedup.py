@@ -28,7 +28,7 @@ from .common import materialize, read, small
 SPACE = r"[\x20\x09-\x0D]+"
 MEMTABLE = 200_000
 FAN = 8  # runs that a tier compares
-SMALL = 4096  # entries below which filters don't pay
+SMALL = 256  # entries below which filters don't pay
 RUN = "shard int, n long, digests binary, lens binary, ids binary, counts binary, bloom binary"
 ENTRY = "digest binary, keep_id long, group_size long"
 _PROBES = 5
