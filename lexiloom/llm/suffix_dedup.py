@@ -5,7 +5,8 @@ the text is first cut down to where a repeat can be, without loss. Anchors are t
 K-byte gram has the smallest hash of a window of ``length`` bytes: two equal strings of that length
 have an anchor at the same place in them. Only anchors whose hash occurs in two documents
 matter; the bytes around one, its context, hold every string of that length which it anchors.
-Contexts are dealt out by anchor hash, so that all occurrences of a string meet. In each task the
+In a run or a periodic text every position may be an anchor, with the same bytes around: a document sends each of its
+contexts once, with the places, so that such a text moves four bytes a place. Contexts are dealt out by anchor hash, so that all occurrences of a string meet. In each task the
 contexts' suffixes are sorted by the difference-cover algorithm (sort sampled triples, recurse on their
 names, merge the remaining suffixes), adjacent suffixes are compared over ``length`` bytes, and the
 smallest document of each run of equal ones tells which occurrences go.
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,6 +166,17 @@ def _long(raw: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[int,
             yield lo, hi, at + base, h
 
 
+def _places(at: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """Of ascending groups of places, which begin at ``first``: the first place of each, and the others, null if there are none."""
+    n = np.diff(np.append(first, len(at)))
+    lone = n == 1
+    rest = np.ones(len(at), bool)
+    rest[first] = False
+    edge = np.concatenate([[0], np.cumsum(n - 1)]).astype(np.int32)
+    others = pa.ListArray.from_arrays(pa.array(edge), pa.array(at[rest].astype(np.int32)), mask=pa.array(lone)) if len(first) else pa.array([], pa.list_(pa.int32()))
+    return [pa.array(at[first].astype(np.int32)), others]
+
+
 def _occurrences(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,31 +184,38 @@ def _occurrences(length: int):
             raw, off = byte_view(b.column(1))
             for _, _, at, h in _long(raw, off, length):
                 row = np.searchsorted(off, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row].astype(np.int64)), pa.array((at - off[row]).astype(np.int32))], names=["h", "doc_id", "pos"])
+                order = np.lexsort((at, h, row))
+                h, row, at = h[order], row[order], at[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                first = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[row[first]].astype(np.int64)), *_places(at - off[row], first)], names=["h", "doc_id", "pos", "rest"])
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, doc_id), those whose h is in two documents; holds one document's rows of one h at most."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    told = None  # an h that is known to be repeated
-
-    def out(h, doc, pos, take):
-        return pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(pos[take])], names=["doc_id", "pos"])
-
+    """Of rows sorted by (h, doc_id), those whose h is in two documents. Until the second one comes, one document's rows of an h are held."""
+    held: list[pa.RecordBatch] = []
+    at = None  # the h that was last, its document, and whether it is repeated
     for b in batches:
-        h, doc, pos = (np.concatenate([x, b.column(k).to_numpy()]) for k, x in enumerate(held))
-        if not len(h):
+        if not b.num_rows:
             continue
+        h, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
         cut = np.flatnonzero(h[1:] != h[:-1]) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(h)]]) - 1
-        multi = (doc[first] != doc[last]) | (h[first] == told if told is not None else False)
-        take = np.repeat(multi, last - first + 1)
-        yield out(h, doc, pos, take)
-        told = h[-1] if multi[-1] else None
-        keep = slice(first[-1], None) if not multi[-1] else slice(len(h), None)
-        held = [h[keep], doc[keep], pos[keep]]
+        multi = doc[first] != doc[last]
+        if at is not None and at[0] == h[0]:
+            multi[0] |= at[2] or at[1] != doc[0]
+            if multi[0]:
+                yield from held
+                held = []
+        if len(first) > 1 or multi[0]:
+            held = []
+        yield b.select(["doc_id", "pos", "rest"]).filter(pa.array(np.repeat(multi, last - first + 1)))
+        if not multi[-1]:
+            held.append(b.select(["doc_id", "pos", "rest"]).slice(int(first[-1])))
+        at = (h[-1], doc[-1], bool(multi[-1]))
 
 
 def _contexts(length: int):
@@ -215,12 +235,28 @@ def _contexts(length: int):
             start, end = np.maximum(pos - reach, off[rows]), np.minimum(pos + length, off[rows + 1])
             fit = end - start >= length
             rows, pos, start, end, h = rows[fit], pos[fit], start[fit], end[fit], h[fit]
+            order = np.lexsort((pos, h, rows))
+            rows, start, end, h = rows[order], start[order], end[order], h[order]
             data = raw.tobytes()
-            for k in range(0, len(rows), 50_000):
-                part = slice(k, k + 50_000)
-                ctx = [data[a:e] for a, e in zip(start[part], end[part], strict=True)]
-                r = rows[part]
-                yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(ctx, pa.binary()), pa.array(ids[r]), pa.array(th[r]), pa.array((start[part] - off[r]).astype(np.int32))], names=["h", "ctx", "doc_id", "th", "start"])
+            # a context once a document, with its places: only an anchor that a document has twice needs a look
+            same = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
+            twice = np.zeros(len(h), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            group = np.arange(len(h))
+            seen: dict[tuple[int, int, bytes], int] = {}
+            for k in np.flatnonzero(twice).tolist():
+                group[k] = seen.setdefault((int(rows[k]), int(h[k]), data[start[k] : end[k]]), k)
+            order = np.argsort(group, kind="stable")
+            lead, first = np.unique(group[order], return_index=True)
+            at = (start - off[rows])[order]
+            edge = np.append(first, len(order))
+            for k in range(0, len(lead), 50_000):
+                of = lead[k : k + 50_000]
+                lo, hi = edge[k], edge[min(k + 50_000, len(lead))]
+                ctx = [data[a:e] for a, e in zip(start[of].tolist(), end[of].tolist(), strict=True)]
+                r = rows[of]
+                yield pa.RecordBatch.from_arrays([pa.array(h[of].view(np.int64)), pa.array(ctx, pa.binary()), pa.array(ids[r]), pa.array(th[r]), *_places(at[lo:hi], first[k : k + 50_000] - lo)], names=["h", "ctx", "doc_id", "th", "pos", "rest"])
 
     return run
 
@@ -229,11 +265,12 @@ def _removals(length: int):
     """Of contexts sorted by h and ctx: (doc_id, th, start, end) of bytes that a smaller document has too."""
 
     def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).combine_chunks()
-        h, doc, th, start = (table.column(k).to_numpy() for k in ("h", "doc_id", "th", "start"))
-        ctx = table.column("ctx").combine_chunks()
-        off = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1]
-        key = np.array(ctx.to_pylist(), dtype=object)
+        table = pa.Table.from_batches(held)
+        h, doc, th, start = (table.column(k).to_numpy() for k in ("h", "doc_id", "th", "pos"))
+        n_rest = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(table.column("rest")), 0).to_numpy())])
+        rest = np.concatenate([c.flatten().to_numpy() for c in table.column("rest").chunks])
+        key = np.array([*table.column("ctx").to_pylist(), None], dtype=object)[:-1]
+        width = pc.binary_length(table.column("ctx")).to_numpy()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
         group = np.cumsum(new) - 1
@@ -244,7 +281,7 @@ def _removals(length: int):
         first = np.ones(len(head), bool)
         first[1:] = gh[1:] != gh[:-1]
         many = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1
-        sizes = (off[1:] - off[:-1])[head]
+        sizes = width[head].astype(np.int64)
         n_starts = sizes - length + 1
         base = np.concatenate([[0], np.cumsum(n_starts)])
         lows = np.repeat(lowest, n_starts)
@@ -271,8 +308,20 @@ def _removals(length: int):
         cut[1:] = (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)
         a = np.flatnonzero(cut)
         z = np.concatenate([a[1:], [len(row)]]) - 1
-        r = row[a]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(th[r]), pa.array((start[r] + step[a]).astype(np.int32)), pa.array((start[r] + step[z] + length).astype(np.int32))], names=["doc_id", "th", "start", "end"])
+        r, low, high = row[a], step[a], step[z] + length
+        # every place of the context, in ascending order; ranges that meet are one
+        n = 1 + np.diff(n_rest)[r]
+        run = np.repeat(np.arange(len(r)), n)
+        k = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        place = start[r][run].astype(np.int64)
+        more = k > 0
+        place[more] = rest[n_rest[r][run[more]] + k[more] - 1]
+        begin, end = place + low[run], place + high[run]
+        new = np.ones(len(run), bool)
+        new[1:] = (run[1:] != run[:-1]) | (begin[1:] > end[:-1])
+        a = np.flatnonzero(new)
+        z = np.concatenate([a[1:], [len(run)]]) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(doc[r][run[a]]), pa.array(th[r][run[a]]), pa.array(begin[a].astype(np.int32)), pa.array(end[z].astype(np.int32))], names=["doc_id", "th", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -327,12 +376,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     copies = materialize(copies.distinct(), "copies")
     lone = src.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text")).join(small(copies), ["doc_id", "th"], "left_anti")
 
-    seen = lone.select("doc_id", "text").mapInArrow(_occurrences(length), "h long, doc_id long, pos int")
-    found = seen.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_repeated, "doc_id long, pos int")
-    found = materialize(found.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "anchors")
+    seen = lone.select("doc_id", "text").mapInArrow(_occurrences(length), "h long, doc_id long, pos int, rest array<int>")
+    found = seen.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_repeated, "doc_id long, pos int, rest array<int>")
+    found = materialize(found.groupBy("doc_id").agg(F.array_union(F.collect_set("pos"), F.flatten(F.collect_list("rest"))).alias("at")), "anchors")
     kept = lone.join(found, "doc_id").select("doc_id", "th", "text", "at")
     kept = materialize(kept.dropDuplicates(["doc_id", "th"]), "candidates")
-    ctx = kept.mapInArrow(_contexts(length), "h long, ctx binary, doc_id long, th long, start int")
+    ctx = kept.mapInArrow(_contexts(length), "h long, ctx binary, doc_id long, th long, pos int, rest array<int>")
     gone = ctx.repartition("h").sortWithinPartitions("h", "ctx").mapInArrow(_removals(length), "doc_id long, th long, start int, end int")
     gone = materialize(gone.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "ranges")
     parts = kept.join(gone, ["doc_id", "th"]).select("doc_id", "th", "text", "ranges").mapInArrow(_cut, "doc_id long, th long, n_removed long, n_spans long, kept_sha256 string")
