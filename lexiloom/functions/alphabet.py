@@ -21,7 +21,8 @@ BREAKS = "|।॥"
 NATIVE_VOWELS = dict(zip("अआइईउऊऋॠऌॡएऐओऔ", VOWELS[:10] + "eEoO", strict=True))
 NATIVE_SIGNS = dict(zip("ािीुूृॄॢॣेैोौ", "AiIuUfFxXeEoO", strict=True))
 NATIVE_CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", CONSONANTS, strict=True))
-NATIVE_MARKS = {"ं": "M", "ः": "H", "ऽ": "'"}
+NATIVE_CONSONANTS["ळ"] = "l"
+NATIVE_MARKS = {"ं": "M", "ँ": "M", "ः": "H", "ऽ": "'"}
 VIRAMA = "्"
 
 # Control tokens of the training text, in id order, before the characters.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,10 +67,22 @@ def is_phonemes(c: Column) -> Column:
     return bare.rlike(f"^[{A.LETTERS}]+$") & bare.rlike("[A-Z]")
 
 
+def composed(c: Column) -> Column:
+    """Letters that the romanisation knows, put together where they are written with combining marks; with other marks a letter is unknown."""
+    x = F.lower(c)
+    known = {unicodedata.normalize("NFD", key): key for key in A.ROMAN}
+    for parts in sorted(known, key=len, reverse=True):  # two marks before one
+        if parts != known[parts]:
+            x = F.replace(x, F.lit(parts), F.lit(known[parts]))
+            if len(parts) == 3 and parts[2] > "\u02ff":  # marks in the other order
+                x = F.replace(x, F.lit(parts[0] + parts[2] + parts[1]), F.lit(known[parts]))
+    return F.when(c.rlike("[\u0300-\u036f]"), F.regexp_replace(x, "[a-zāīūēōṛḷśṣṅñṇṭḍṃṁḥ][\u0300-\u036f]+", " ")).otherwise(c)
+
+
 def to_phonemes(c: Column) -> Column:
-    """Text of any script in the encoding, with lines kept. Composed Unicode is expected."""
+    """Text of any script in the encoding, with lines kept."""
     kept = F.regexp_replace(F.regexp_replace(c, "[|।॥]", "\n"), r"[^\S\n]", " ")
-    return normalize_lines(F.when(has_native(c), native_to_phonemes(c)).when(is_phonemes(c), kept).otherwise(roman_to_phonemes(c)))
+    return normalize_lines(F.when(has_native(c), native_to_phonemes(c)).when(is_phonemes(c), kept).otherwise(roman_to_phonemes(composed(c))))
 
 
 UNIT = f"[{A.VOWELS}][^{A.VOWELS}]*"
@@ -144,6 +157,29 @@ def mask_span(c: Column, seed: str, rate: float = 0.15) -> tuple[Column, Column]
     return F.concat(F.substr(c, F.lit(1), at - 1), F.lit("[MASK_0]"), F.substr(c, at + span, n)), F.substr(c, at, span)
 
 
+def bare_root(c: Column) -> Column:
+    """A root without its markers: accents, a final consonant, vowels with a nasal mark, the syllables that open some roots."""
+    x = F.regexp_replace(c, r"[\\^]", "")
+    x = F.regexp_replace(F.regexp_replace(x, f"[{A.CONSONANTS}]$", ""), f"[{A.VOWELS}]~", "")
+    return F.regexp_replace(x, "^(Yi|wu|qu)", "")
+
+
+def clean_pada(c: Column) -> Column:
+    """A word without apostrophes and bars at its ends; null if it is shorter than two letters or has anything but letters."""
+    x = F.regexp_replace(c, "^['|]+|['|]+$", "")
+    return F.when((F.char_length(x) >= 2) & x.rlike(f"^[{A.LETTERS}L]+$"), x)
+
+
+def parts_of(c: Column) -> Column:
+    """The words of a segmentation written with bars; a leading task token goes, blank parts too."""
+    return F.filter(F.transform(F.split(F.regexp_replace(c, "^<seg>", ""), "[|]", -1), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def decode_example(ids: Column, loss_start: Column) -> tuple[Column, Column]:
+    """(src, tgt) of an encoded example."""
+    return decode(F.slice(ids, F.lit(2), F.greatest(loss_start - 2, F.lit(0)))), decode(F.slice(ids, loss_start + 1, F.greatest(F.size(ids) - loss_start - 1, F.lit(0))))
+
+
 def field(c: Column, token: str) -> Column:
     """Text after a control token, up to the next one."""
     return F.regexp_extract(c, f"{re.escape(token)}([^<]*)", 1)

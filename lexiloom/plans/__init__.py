@@ -1,3 +1,3 @@
 
 
-from . import boundaries  # noqa: F401  adds its queries
+from . import boundaries, corpus  # noqa: F401  add their queries

@@ -101,9 +101,9 @@ def split_pool_report(spark, sf_dir):
 
 
 def pool_report(gold: DataFrame, splits: DataFrame) -> DataFrame:
-    """(zero, n, n_in_pool, n_silent, mean_pool) of gold (src, gold, zero) and candidates (word, cand, padas). Silent: the text is the only candidate."""
+    """(zero, n, n_in_pool, n_silent, mean_pool, median_pool, max_pool) of gold (src, gold, zero) and candidates (word, cand, padas). Silent: the text is the only candidate."""
     hit = gold.join(splits, F.col("src") == F.col("word")).groupBy("src", "gold", "zero").agg(F.count("*").alias("pool"), F.bool_or(F.col("padas") == F.col("gold")).alias("hit"), F.bool_and(F.col("padas") == F.col("src")).alias("silent"))
-    return hit.groupBy("zero").agg(F.count("*").alias("n"), F.count_if("hit").alias("n_in_pool"), F.count_if("silent").alias("n_silent"), F.round(F.avg("pool"), 6).alias("mean_pool"))
+    return hit.groupBy("zero").agg(F.count("*").alias("n"), F.count_if("hit").alias("n_in_pool"), F.count_if("silent").alias("n_silent"), F.round(F.avg("pool"), 6).alias("mean_pool"), F.percentile("pool", F.lit(0.5)).alias("median_pool"), F.max("pool").alias("max_pool"))
 
 
 @query()

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import lexicon as L
 from ..operators import prosody, sandhi
 from ..sources.meters import GANAS, ROWS
+from ..sources.readers import once
 from . import duck as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,11 +124,11 @@ c AS (SELECT id, ord, name, one, count(*) AS hits FROM f GROUP BY ALL),
 v AS (SELECT id, one, arg_min(name, ord) AS name FROM c JOIN (SELECT id, count(*) AS n FROM padas GROUP BY id) USING (id) WHERE hits = n GROUP BY id, one)"""
 
 
-@query(f"""WITH {D.meters()}, {D.lines('documents', 'doc_id')}, padas AS (SELECT doc_id * 100000 + pos AS id, 0 AS pos, {D.weights('line')} AS w FROM lines), {_VRTTA}
-SELECT id, name FROM v WHERE one""")
+@query(f"""WITH {D.meters()}, {D.lines('documents', 'doc_id')}, padas AS (SELECT struct_pack(doc_id := doc_id, line := pos) AS id, 0 AS pos, {D.weights('line')} AS w FROM lines), {_VRTTA}
+SELECT id.doc_id AS doc_id, id.line AS line, name FROM v WHERE one""")
 def meter_vrtta_exact(spark, sf_dir):
-    w = lines(table(spark, sf_dir, "documents"), "doc_id").select((F.col("doc_id") * 100000 + F.col("pos")).alias("id"), F.lit(0).alias("pos"), X.weights(F.col("line")).alias("w"))
-    return prosody.vrtta(w, "id").filter("one").select("id", "name")
+    w = lines(table(spark, sf_dir, "documents"), "doc_id").select(F.struct("doc_id", F.col("pos").alias("line")).alias("id"), F.lit(0).alias("pos"), X.weights(F.col("line")).alias("w"))
+    return prosody.vrtta(w, "id").filter("one").select("id.doc_id", "id.line", "name")
 
 
 _ODD = D.mapping(prosody.ODD)
@@ -177,12 +178,12 @@ def upajati_families(spark, sf_dir):
     return prosody.families(spark)
 
 
-@query(f"""WITH {D.meters()}, {D.lines('documents', 'doc_id')}, padas AS (SELECT doc_id * 100000 + pos // 2 AS id, pos % 2 AS pos, {D.weights('line')} AS w FROM lines), {_FAMILIES},
+@query(f"""WITH {D.meters()}, {D.lines('documents', 'doc_id')}, padas AS (SELECT struct_pack(doc_id := doc_id, pair := pos // 2) AS id, pos % 2 AS pos, {D.weights('line')} AS w FROM lines), {_FAMILIES},
 g AS (SELECT id, min(substr(w, 2, length(w) - 2)) AS t, min(length(w)) AS n FROM padas GROUP BY id HAVING count(*) >= 2 AND count(DISTINCT length(w)) = 1 AND count(DISTINCT left(w, 1)) >= 2 AND min(substr(w, 2, length(w) - 2)) = max(substr(w, 2, length(w) - 2)) AND min(length(w)) > 0)
-SELECT id, arg_min(members, first_ord) AS members FROM g JOIN fam ON left(tail, length(tail) - 1) = t AND length(tail) = n - 1 GROUP BY id""")
+SELECT id.doc_id AS doc_id, id.pair AS pair, arg_min(members, first_ord) AS members FROM g JOIN fam ON left(tail, length(tail) - 1) = t AND length(tail) = n - 1 GROUP BY id""")
 def upajati_label(spark, sf_dir):
-    w = lines(table(spark, sf_dir, "documents"), "doc_id").select((F.col("doc_id") * 100000 + F.floor(F.col("pos") / 2)).alias("id"), (F.col("pos") % 2).alias("pos"), X.weights(F.col("line")).alias("w"))
-    return prosody.upajati(w, "id")
+    w = lines(table(spark, sf_dir, "documents"), "doc_id").select(F.struct("doc_id", F.floor(F.col("pos") / 2).alias("pair")).alias("id"), (F.col("pos") % 2).alias("pos"), X.weights(F.col("line")).alias("w"))
+    return prosody.upajati(w, "id").select("id.doc_id", "id.pair", "members")
 
 
 # Well-known verses, as fixed input beside the benchmark texts.
@@ -266,7 +267,7 @@ def lexicon_top(spark, sf_dir):
     return lexicon(spark, sf_dir).filter("freq >= 2").orderBy(F.desc("freq"), "pada").limit(6000)
 
 
-@query(f"WITH {_LEX}, b AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(l, ' ')) AS w FROM (SELECT unnest(string_split({D.phonemes('text')}, chr(10))) AS l FROM benchmark)) WHERE w <> '') SELECT word, greatest(coalesce(x.freq, 0), coalesce(y.freq, 0)) AS freq FROM b LEFT JOIN lex x ON x.pada = word LEFT JOIN lex y ON y.pada = regexp_replace(word, '[sr]$', 'H')")
+@query(f"WITH {_LEX}, b AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(l, ' ')) AS w FROM (SELECT unnest(string_split({D.phonemes('text')}, chr(10))) AS l FROM benchmark)) WHERE w <> ''), f AS (SELECT DISTINCT word, unnest([word, regexp_replace(word, '[sr]$', 'H')]) AS pada FROM b) SELECT word, coalesce(max(freq), 0) AS freq FROM f LEFT JOIN lex USING (pada) GROUP BY word")
 def lexicon_pausa_probe(spark, sf_dir):
     w = words(table(spark, sf_dir, "benchmark"), "item_id").select("word").distinct()
     lex = lexicon(spark, sf_dir)
@@ -276,7 +277,7 @@ def lexicon_pausa_probe(spark, sf_dir):
 
 @query(f"WITH {_LEX} SELECT pada, round(ln(freq) - ln((SELECT sum(freq) FROM lex)), 6) AS logp, round(ln(1 + freq) / ln(1 + (SELECT max(freq) FROM lex)), 6) AS share FROM lex")
 def lexicon_log_score(spark, sf_dir):
-    lex = lexicon(spark, sf_dir)
+    lex = once(lexicon(spark, sf_dir), "lexicon")
     total = F.broadcast(lex.agg(F.sum("freq").alias("s"), F.max("freq").alias("m")))  # one row
     return lex.crossJoin(total).select("pada", F.round(F.log("freq") - F.log("s"), 6).alias("logp"), F.round(F.log1p("freq") / F.log1p("m"), 6).alias("share"))
 
@@ -322,19 +323,20 @@ def trigram_logprob(spark, sf_dir):
 
 
 def trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grams(table(spark, sf_dir, "documents"), "doc_id").groupBy("ctx", "ch").agg(F.count("*").alias("n3"))
+    return once(_grams(table(spark, sf_dir, "documents"), "doc_id").groupBy("ctx", "ch").agg(F.count("*").alias("n3")), "trigrams")
 
 
 def trigram_scores(t3: DataFrame, g: DataFrame, *keys: str) -> DataFrame:
-    """(keys, lm): mean logarithm of the interpolated probability a letter."""
+    """(keys, lm, n): mean logarithm of the interpolated probability a letter, and the letters. ``t3``: a written table, at most one row for three letters."""
+    b = F.broadcast  # bounded by the third power of the alphabet
     g = g.withColumn("c1", F.expr("right(ctx, 1)"))
     t2 = t3.groupBy(F.expr("right(ctx, 1)").alias("c1"), "ch").agg(F.sum("n3").alias("n2"))
     t1 = t3.groupBy("ch").agg(F.sum("n3").alias("n1"))
     tot = t1.agg(F.sum("n1").alias("nn"), (F.count("*") + 1).alias("v"))
-    g = g.join(t3, ["ctx", "ch"], "left").join(t3.groupBy("ctx").agg(F.sum("n3").alias("m3")), "ctx", "left").join(t2, ["c1", "ch"], "left").join(t2.groupBy("c1").agg(F.sum("n2").alias("m2")), "c1", "left").join(t1, "ch", "left").crossJoin(F.broadcast(tot))  # one row
+    g = g.join(b(t3), ["ctx", "ch"], "left").join(b(t3.groupBy("ctx").agg(F.sum("n3").alias("m3"))), "ctx", "left").join(b(t2), ["c1", "ch"], "left").join(b(t2.groupBy("c1").agg(F.sum("n2").alias("m2"))), "c1", "left").join(b(t1), "ch", "left").crossJoin(F.broadcast(tot))  # one row
     p = lambda n, m: F.coalesce((F.coalesce(n, F.lit(0)) + F.lit(0.1)) / (F.col(m) + F.lit(0.1) * F.col("v")), F.lit(0.0))
     prob = 0.7 * p("n3", "m3") + 0.2 * p("n2", "m2") + 0.1 * p("n1", "nn")
-    return g.groupBy(*keys).agg(F.avg(F.log(prob)).alias("lm"))
+    return g.groupBy(*keys).agg(F.avg(F.log(prob)).alias("lm"), F.count("*").alias("n_letters"))
 
 
 # --- training data --------------------------------------------------------------------------------------
@@ -455,8 +457,8 @@ def _held(w: DataFrame, lex: DataFrame) -> DataFrame:
 d AS (SELECT doc_id, bool_or(h.w IS NOT NULL) AS oov FROM words LEFT JOIN held h ON h.w = word GROUP BY doc_id)
 SELECT CASE WHEN g = 1 THEN 'all' WHEN oov THEN 'oov' ELSE 'in_lex' END AS bucket, n FROM (SELECT oov, grouping(oov) AS g, count(*) AS n FROM d GROUP BY GROUPING SETS ((oov), ()))""")
 def oov_report(spark, sf_dir):
-    w = document_words(spark, sf_dir)
-    held = _held(w, lexicon(spark, sf_dir).withColumnRenamed("pada", "word"))
+    w = once(document_words(spark, sf_dir), "words")
+    held = once(_held(w, once(lexicon(spark, sf_dir).withColumnRenamed("pada", "word"), "lexicon")), "held")
     d = w.join(held, F.col("word") == F.col("held"), "left").groupBy("doc_id").agg(F.bool_or(F.col("held").isNotNull()).alias("oov"))
     one = d.groupBy("oov").agg(_n()).select(F.when(F.col("oov"), "oov").otherwise("in_lex").alias("bucket"), "n")
     return one.union(one.agg(F.lit("all").alias("bucket"), F.sum("n").alias("n")))
@@ -468,8 +470,8 @@ t AS (SELECT CASE WHEN a IN (SELECT pada FROM ab) AND b IN (SELECT pada FROM ab)
 SELECT tier, CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, count(*) AS n FROM t GROUP BY GROUPING SETS ((tier), (tier, bucket))""")
 def oov_tier_report(spark, sf_dir):
     """Pairs of neighbours in the benchmark texts by tier (both in the lexicon less the held words, or not) and by whether one is held."""
-    w = document_words(spark, sf_dir)
-    lex = lexicon(spark, sf_dir).withColumnRenamed("pada", "word")
+    w = once(document_words(spark, sf_dir), "words")
+    lex = once(lexicon(spark, sf_dir).withColumnRenamed("pada", "word"), "lexicon")
     flags = lex.select("word").join(_held(w, lex), F.col("word") == F.col("held"), "left").select("word", F.col("held").isNotNull().alias("is_held"))
     p = _pairs(table(spark, sf_dir, "benchmark"), "item_id").groupBy("a", "b").agg(_n())
     for k in ("a", "b"):
@@ -548,7 +550,7 @@ def candidate_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations of each text with coverage, frequency, unknown words and length."""
     c = candidate_words(spark, sf_dir).select("item_id", "cand", F.explode("ws").alias("pada"))
-    lex = lexicon(spark, sf_dir)
+    lex = once(lexicon(spark, sf_dir), "lexicon")
     top = F.broadcast(lex.agg(F.max("freq").alias("m")))  # one row
     return c.join(lex, "pada", "left").crossJoin(top).groupBy("item_id", "cand").agg(F.count("*").alias("n"), F.avg(F.col("freq").isNotNull().cast("int")).alias("cov"), (F.sum(F.log1p(F.coalesce("freq", F.lit(0)))) / (F.count("*") * F.log1p(F.first("m")))).alias("fw"), F.count_if(F.col("freq").isNull()).alias("oov"))
 
@@ -589,11 +591,10 @@ def kbest_segment(spark, sf_dir):
     """The best covers of fused word pairs by the lexicon; a pair without one keeps its text, as its own tier."""
     import pandas as pd
 
-    bench = words(table(spark, sf_dir, "benchmark"), "item_id").select("word").distinct()
-    lex = lexicon(spark, sf_dir)
-    lex = lex.join(bench.withColumnRenamed("word", "pada"), "pada", "left_semi")  # words of the benchmark texts only
+    sources = once(fused_pairs(spark, sf_dir).select("src").distinct(), "sources")
+    lex = sandhi.reachable(lexicon(spark, sf_dir), sources)
     known = {r["pada"]: r["lp"] for r in lex.select("pada", F.log("freq").alias("lp")).collect()}
-    shared = spark.sparkContext.broadcast(known)  # at most the words of the benchmark texts
+    shared = spark.sparkContext.broadcast(known)  # words that occur in a source, but for three letters: bounded by the benchmark texts, not by the corpus
     table_ = [(f, s, r) for _, f, s, r, _ in sandhi.RULES]
     joins = sandhi.results()
 
@@ -605,4 +606,4 @@ def kbest_segment(spark, sf_dir):
                 rows += [(src, k + 1, "|".join(ws), round(sc, 6), "lexicon", sandhi.rederives(ws, src, joins)) for k, (sc, ws) in enumerate(best)] or [(src, 1, src, 0.0, "fallback", True)]
             yield pd.DataFrame(rows, columns=["src", "cand", "padas", "score", "tier", "rederivable"])
 
-    return fused_pairs(spark, sf_dir).select("src").distinct().mapInPandas(run, "src string, cand long, padas string, score double, tier string, rederivable boolean")
+    return sources.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "src string, cand long, padas string, score double, tier string, rederivable boolean")

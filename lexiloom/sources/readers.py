@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,38 @@ ENCODED = "ids array<int>, loss_start int, task string"
 SECTIONS = "sections array<struct<blocks: array<struct<content: string>>>>"
 
 
+def once(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below ``spark.checkpoint.dir`` and read back, so that what is made of it several times is computed once."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="scratch-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cached(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:
+    """The table at ``path``; if it is missing or to be rebuilt, ``build()`` is written there first. A write cut short doesn't count."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if rebuild or not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
+    """Token ids from the file that ``write_vocabulary`` wrote; a vocabulary is a fixed table of some hundred tokens."""
+    return {r["token"]: r["id"] for r in spark.read.schema("token string, id int").json(path).collect()}
+
+
+def write_vocabulary(spark: SparkSession, table: dict[str, int], path: str) -> None:
+    spark.createDataFrame(list(table.items()), "token string, id int").coalesce(1).write.mode("overwrite").json(path)
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path).na.fill("")
 
