@@ -592,8 +592,10 @@ def kbest_segment(spark, sf_dir):
     import pandas as pd
 
     sources = once(fused_pairs(spark, sf_dir).select("src").distinct(), "sources")
-    lex = sandhi.reachable(lexicon(spark, sf_dir), sources)
-    known = {r["pada"]: r["lp"] for r in lex.select("pada", F.log("freq").alias("lp")).collect()}
+    whole = once(lexicon(spark, sf_dir), "lexicon")
+    total = whole.agg(F.sum("freq")).first()[0]
+    lex = sandhi.reachable(whole, sources)
+    known = {r["pada"]: r["lp"] for r in lex.select("pada", (F.log("freq") - F.log(F.lit(float(total or 1)))).alias("lp")).collect()}
     shared = spark.sparkContext.broadcast(known)  # words that occur in a source, but for three letters: bounded by the benchmark texts, not by the corpus
     table_ = [(f, s, r) for _, f, s, r, _ in sandhi.RULES]
     joins = sandhi.results()
