@@ -309,8 +309,11 @@ def survivors(hits: Column, priorities: list[int]) -> Column:
     order = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), (-h["priority"]).alias("p"), (-h["end"]).alias("e"), h["ord"].alias("ord"), h["label"].alias("label"))))
     levels = sorted(set(priorities))
 
+    def ends(p: int):
+        return lambda h: F.when(-h["p"] >= p, -h["e"]).otherwise(F.lit(0))
+
     def alone(o: Column) -> Column:
-        reach = F.arrays_zip(o.alias("h"), *[F.slice(running(F.transform(o, lambda h, p=p: F.when(-h["p"] >= p, -h["e"]).otherwise(F.lit(0))), "max"), F.lit(1), F.size(o)).alias(f"r{p}") for p in levels])
+        reach = F.arrays_zip(o.alias("h"), *[F.slice(running(F.transform(o, ends(p)), "max"), F.lit(1), F.size(o)).alias(f"r{p}") for p in levels])
         own = lambda x: F.coalesce(*[F.when(-x["h"]["p"] == p, x[f"r{p}"]) for p in levels])
         kept = F.filter(reach, lambda x: own(x) < -x["h"]["e"])
         return F.transform(kept, lambda x: F.struct(x["h"]["start"].alias("start"), (-x["h"]["e"]).alias("end"), (-x["h"]["p"]).alias("priority"), x["h"]["ord"].alias("ord"), x["h"]["label"].alias("label")))

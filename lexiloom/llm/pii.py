@@ -152,12 +152,16 @@ def disclosing(docs: DataFrame, total: int, min_docs: int, min_share: float, min
     return both.filter(told).select("entity", "term")
 
 
+def _named(kind: str):
+    return lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s["text"]))
+
+
 def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_pmi: float = 0.0, min_removed: float = MIN_REMOVED) -> DataFrame:
     """``keep`` columns, an array of (start, end, text) for each kind and for ``term``, and ``clean``, the sanitized text."""
     names = [k for k, _, _ in KINDS]
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     found = src.select("_kept", *[c.alias(f"_{k}") for k, c in base_spans(F.col("_text")).items()], "_text")
-    values = F.array_distinct(F.concat(*[F.transform(f"_{k}", lambda s, k=k: F.concat(F.lit(f"{k}:"), F.lower(s["text"]))) for k in names]))
+    values = F.array_distinct(F.concat(*[F.transform(f"_{k}", _named(k)) for k in names]))
     kind = lambda name, of: F.when(F.size(of) > 0, F.struct(F.lit(name).alias("entity"), F.xxhash64(F.array_sort(F.array_distinct(of))).alias("held")))
     given = F.when(F.col("_text").rlike(ASSIGNED), F.regexp_extract_all("_text", F.lit(GIVEN), F.lit(0)))
     classes = F.array_compact(F.array(*[kind(f"[{k}]", F.transform(f"_{k}", lambda s: s["text"])) for k in names], kind(SECRET, given)))
