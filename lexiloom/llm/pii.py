@@ -13,7 +13,7 @@ places in any text becomes a span of kind ``term``. ``sanitize`` generalises val
 
 Defined results: null and empty texts have no spans. Repeated rows count as documents of their own. Words within values,
 the NAMES, and the first and last word of a text (which may be cut) aren't counted with an entity.
-Rows whose spans can't be joined by id are told apart by a row number. Extra columns are ignored.
+A term within a value is none of its own; one that reaches beyond stays. Rows whose spans can't be joined by id are told apart by a row number. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "
     out = found.join(small(here), F.col("_row") == F.col("_r"), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L}\p{N}{0,30})(?:"), F.col("_any"), F.lit(r")(?![\p{L}\p{N}])"))
     out = out.withColumn("_terms", F.when(F.col("_any").isNotNull(), spans(F.col("_text"), pattern)))
-    free = lambda base: F.filter(F.coalesce("_terms", F.expr(_NONE)), lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    free = lambda base: F.filter(F.coalesce("_terms", F.expr(_NONE)), lambda t: ~F.exists(base, lambda s: (s["start"] <= t["start"]) & (t["end"] <= s["end"])))
     out = out.withColumn("_term", let(F.concat(*[F.col(f"_{k}") for k in names]), free))
     # a row of its own, so that what follows doesn't find the spans once more
     out = out.withColumn("_clean", F.when(F.greatest(*[F.size(f"_{k}") for k in [*names, "term"]]) > 0, sanitize(F.col("_text"), *[F.col(f"_{k}") for k in [*names, "term"]])).otherwise(F.col("_text")))
