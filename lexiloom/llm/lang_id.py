@@ -152,7 +152,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[st
 
     ``evidence`` appends three more: _grams, the n-grams of the text; _share, the largest share of the mixture over
     all languages, which has no lower bound but 1 / their number; _gain, the nats an n-gram by which that mixture explains the text
-    better than letters drawn one by one. Texts shorter than an n-gram have 0, their score and 0.
+    better than letters drawn one by one. Texts shorter than an n-gram have 0, 0.5 and 0: they tell too little to be judged.
     """
     added = ["lang_pred", "score", *(["_grams", "_share", "_gain"] if evidence else [])]
     keep = [c for c in keep if c not in added]
@@ -183,7 +183,6 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[st
                     odds = shared.value[_codes(filled.ravel())[::GRAM]].astype(float)
                     odds = np.exp(odds - odds.max(axis=1, keepdims=True))
                     pred[bare], score[bare] = odds.argmax(axis=1), (odds / odds.sum(axis=1, keepdims=True)).max(axis=1)
-                    broad[bare] = score[bare]
             names = np.array([*langs, UND], dtype=object)
             pred[~lettered], score[~lettered] = -1, 0.0
             cols = [b.column(k) for k in range(b.num_columns - 1)]
