@@ -177,6 +177,15 @@ def _places(at: np.ndarray, first: np.ndarray) -> list[pa.Array]:
     return [pa.array(at[first].astype(np.int32)), others]
 
 
+def _twice(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether a row has a place's hash at another place, too."""
+    order = np.lexsort((h, row))
+    same = (h[order][1:] == h[order][:-1]) & (row[order][1:] == row[order][:-1])
+    out = np.zeros(len(h), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 def _occurrences(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,12 +193,17 @@ def _occurrences(length: int):
             raw, off = byte_view(b.column(1))
             for _, _, at, h in _long(raw, off, length):
                 row = np.searchsorted(off, at, "right") - 1
-                order = np.lexsort((at, h, row))
-                h, row, at = h[order], row[order], at[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                first = np.flatnonzero(new)
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(ids[row[first]].astype(np.int64)), *_places(at - off[row], first)], names=["h", "doc_id", "pos", "rest"])
+                twice = _twice(h, row)
+                batch = lambda k, first, places: pa.RecordBatch.from_arrays([pa.array(h[k][first].view(np.int64)), pa.array(ids[row[k][first]].astype(np.int64)), *places], names=["h", "doc_id", "pos", "rest"])
+                lone = np.flatnonzero(~twice)  # in the order of the text, which is what compresses
+                yield batch(lone, slice(None), _places((at - off[row])[lone], np.arange(len(lone))))
+                if twice.any():
+                    k = np.flatnonzero(twice)
+                    k = k[np.lexsort((at[k], h[k], row[k]))]
+                    new = np.ones(len(k), bool)
+                    new[1:] = (h[k][1:] != h[k][:-1]) | (row[k][1:] != row[k][:-1])
+                    first = np.flatnonzero(new)
+                    yield batch(k, first, _places((at - off[row])[k], first))
 
     return run
 
@@ -235,17 +249,13 @@ def _contexts(length: int):
             start, end = np.maximum(pos - reach, off[rows]), np.minimum(pos + length, off[rows + 1])
             fit = end - start >= length
             rows, pos, start, end, h = rows[fit], pos[fit], start[fit], end[fit], h[fit]
-            order = np.lexsort((pos, h, rows))
+            order = np.lexsort((pos, rows))
             rows, start, end, h = rows[order], start[order], end[order], h[order]
             data = raw.tobytes()
             # a context once a document, with its places: only an anchor that a document has twice needs a look
-            same = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
-            twice = np.zeros(len(h), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
             group = np.arange(len(h))
             seen: dict[tuple[int, int, bytes], int] = {}
-            for k in np.flatnonzero(twice).tolist():
+            for k in np.flatnonzero(_twice(h, rows)).tolist():
                 group[k] = seen.setdefault((int(rows[k]), int(h[k]), data[start[k] : end[k]]), k)
             order = np.argsort(group, kind="stable")
             lead, first = np.unique(group[order], return_index=True)
