@@ -338,6 +338,14 @@ def segment_ranked(spark, sf_dir):
     return ranked(spark, texts, once(R.lexicon(spark, sf_dir), "lexicon"), R.trigram_counts(spark, sf_dir)).filter("rank <= 6")
 
 
+@query()
+def split_pool_sizes(spark, sf_dir):
+    """Mean, median and largest pool of splits of the fused pairs."""
+    texts = R.fused_pairs(spark, sf_dir).select(F.col("src").alias("word")).distinct()
+    n = sandhi.split(texts).groupBy("word").agg(F.count("*").alias("pool"))
+    return n.agg(F.count("*").alias("n"), F.round(F.avg("pool"), 6).alias("mean_pool"), F.percentile("pool", F.lit(0.5)).alias("median_pool"), F.max("pool").alias("max_pool"))
+
+
 @query()
 def analyze_texts(spark, sf_dir):
     """The words of the best segmentation of each fused pair, with their frequency and up to two roots."""
