@@ -315,8 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         return None
     terms = learn_terms(rows, sizes[True], sizes[False])
     auto, weight = build([k for k, _ in terms]), np.array([r for _, r in terms] or [0.0])
-    seen = _scan(rows, auto, weight, None, ["toxic"]).orderBy("toxic", *[F.col("score")[k] for k in range(N_FEATURES)]).toPandas()  # max_train rows, in one order for any layout
-    return Model(auto, weight, _fit(np.stack(seen["score"]), (seen["toxic"].to_numpy() > 0).astype(float)))
+    seen = _scan(rows, auto, weight, None, ["toxic"]).toPandas()  # max_train rows
+    x, y = np.stack(seen["score"]), (seen["toxic"].to_numpy() > 0).astype(float)
+    order = np.lexsort((*x.T, y))  # one order for any layout
+    return Model(auto, weight, _fit(x[order], y[order]))
 
 
 def toxicity(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
