@@ -404,3 +404,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read(spark, sf_dir, "documents"))
+
+#: The same for distinct ids, by all strings of LENGTH bytes; bytes are written as two hexadecimal digits.
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, array_slice(b, i + 1, i + {LENGTH}) AS s FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - {LENGTH - 1})) AS i FROM d)),
+seen AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, -1) AS new FROM g JOIN seen USING (s) WHERE doc_id > least),
+part AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM hit),
+span AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS z FROM part GROUP BY doc_id, part),
+gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+cut AS (SELECT doc_id, sum(z - a)::BIGINT AS n, count(*) AS spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS rest FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
