@@ -253,3 +253,22 @@ def _real_ids(named: DataFrame, keyed: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"))
+
+#: The same for distinct ids, by the shingles themselves.
+SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i, len(w) AS m FROM w),
+q AS (SELECT doc_id, i, m, concat_ws(' ', w, {", ".join(f"lead(w, {k}) OVER x" for k in range(1, SHINGLE))}) AS g FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT DISTINCT doc_id, g FROM q WHERE i <= greatest(m - {SHINGLE}, 0)),
+g AS MATERIALIZED (SELECT doc_id, g, count(*) OVER (PARTITION BY doc_id) AS n FROM h),
+s AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n + b.n) AS n, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2),
+link AS (SELECT a, b FROM pairs WHERE 100 * k >= 85 * (n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN low ON doc_id = a
+"""
