@@ -350,3 +350,39 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array_sort(F.array_distinct(F.concat("base.label", "detections.label")))
     score = F.greatest(F.when(F.size("base") > 0, 0.5).otherwise(0.0), F.coalesce(F.array_max("detections.priority") / 101, F.lit(0.0)))
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+
+
+def _sql() -> str:
+    """Every rule on every text, without keywords; suppression over pairs. Two blanks between words, so that a match may take those at its edges."""
+    marks = []
+    for o, label, _, priority, regex in rules():
+        wide = regex.removeprefix("(?<= )").removesuffix("(?= )").replace("[^ ]", r"\S").replace(" ", "  ")
+        marks.append(f"CASE WHEN regexp_matches(n, ' {wide} ') THEN {{'ord': {o}, 'label': '{label}', 'priority': {priority}, 'marked': regexp_replace(n, ' {wide} ', chr(1) || '\\0' || chr(2), 'g')}} END")
+    places = []
+    for phrase, label in BASE:
+        p = phrase.split()
+        places.append(f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, i, w, {', '.join(f'lead(w, {k}) OVER x AS w{k}' for k in range(1, len(p)))} FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY i)) WHERE w = '{p[0]}' AND {' AND '.join(f"w{k} = '{y}'" for k, y in enumerate(p) if k)}")
+    return rf"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM w),
+place AS ({" UNION ALL ".join(places)}),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM place GROUP BY doc_id),
+mark AS (SELECT doc_id, unnest(list_filter([{", ".join(marks)}], lambda m: m IS NOT NULL)) AS m FROM (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' AS n FROM w)),
+piece AS (SELECT doc_id, m.ord AS ord, m.label AS label, m.priority AS priority, unnest(string_split_regex(m.marked, '[\x01\x02]')) AS t, unnest(range(2 + length(m.marked))) AS k FROM mark),
+ends AS (SELECT doc_id, ord, label, priority, k, sum(length(t)) OVER (PARTITION BY doc_id, ord ORDER BY k) AS z, length(t) AS n FROM piece WHERE t IS NOT NULL),
+hit AS MATERIALIZED (SELECT doc_id, ord, label, priority, z - n AS a, z FROM ends WHERE k % 2 = 1),
+kept AS (
+  SELECT * FROM hit x WHERE NOT EXISTS (
+    FROM hit y WHERE y.doc_id = x.doc_id AND y.a <= x.a AND y.z >= x.z AND (y.priority > x.priority OR y.priority = x.priority AND (y.z - y.a > x.z - x.a OR y.z - y.a = x.z - x.a AND y.ord < x.ord)))),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(priority) AS top FROM kept GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+       greatest(CASE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0 END, coalesce(top / 101, 0)) AS score
+FROM w LEFT JOIN base ON w.doc_id = base.doc_id LEFT JOIN found ON w.doc_id = found.doc_id
+"""
+
+
+#: Null places: compared by typed values.
+NULLABLE_SQL = _sql()

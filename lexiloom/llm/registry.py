@@ -28,3 +28,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: m.SQL for name, m in _OPERATORS.items() if hasattr(m, "SQL")}
+
+
+def nullable_sql() -> dict[str, str]:
+    """SQL of the queries whose results hold null numbers, which pandas shows as floats on one side only: compare values, not their text."""
+    return {name: m.NULLABLE_SQL for name, m in _OPERATORS.items() if hasattr(m, "NULLABLE_SQL")}
