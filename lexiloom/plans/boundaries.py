@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..operators import sandhi
+from ..sources.readers import once
 from . import duck as D
 from . import registry as R
 from .registry import query
@@ -27,10 +29,8 @@ folded AS (SELECT doc_id, pos, start, replace(abc, ' ', '') AS src, a || ' | ' |
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All windows of three words of a line, joined from the left, with a surface of 60 letters at most."""
-    l = R.lines(R.table(spark, sf_dir, "documents"), "doc_id").withColumn("w", F.split("line", " ")).filter("size(w) >= 3")
-    x = l.select("doc_id", "pos", F.explode(F.expr("transform(sequence(1, size(w) - 2), i -> struct(cast(i as bigint) as start, w[i - 1] as a, w[i] as b, w[i + 1] as c))")).alias("x")).select("doc_id", "pos", "x.*")
-    x = sandhi.fold(sandhi.fold(x, "a", "b", "ab", "k1"), "ab", "c", "abc", "k2")
-    return x.withColumn("src", F.replace("abc", F.lit(" "), F.lit(""))).withColumn("tgt", F.concat_ws(" | ", "a", "b", "c")).filter("length(src) <= 60")
+    schema = "doc_id long, pos long, start long, src string, tgt string, k1 string, k2 string, a string, b string, c string"
+    return R.by_kernel(R.table(spark, sf_dir, "documents"), K.folded(K.Folder(sandhi.first_results())), schema, "doc_id")
 
 
 @query(f"WITH {_FOLDED} SELECT doc_id, pos, start, src, tgt, k1, k2 FROM folded")
@@ -56,17 +56,22 @@ UNION ALL SELECT 'sandhi', count(*) FROM sa WHERE NOT (k = 'no-sandhi' AND joine
 SELECT coalesce(task, 'TOTAL') AS task, sum(n)::BIGINT AS n FROM t GROUP BY ROLLUP (task)""")
 def mixture_counts(spark, sf_dir):
     """Examples of each task. Of the word pairs that no rule changes, five in a hundred are taken, by hash."""
-    docs = R.table(spark, sf_dir, "documents")
-    pairs = sandhi.fold(R._pairs(docs, "doc_id").select("a", "b").distinct(), "a", "b", "joined", "k")
-    chance = F.conv(F.substring(F.md5(F.concat(F.lit("1337:"), "a", F.lit(" "), "b")), 1, 8), 16, 10).cast("long") % 100
-    pairs = pairs.filter(~((F.col("k") == "no-sandhi") & (F.col("joined") == F.concat("a", "b"))) | (chance < 5))
+    one = once(R.batches_of(R.table(spark, sf_dir, "documents")).mapInArrow(K.mixed(K.Folder(sandhi.first_results())), "task string, n long, a string, b string, plain boolean").filter(_taken()), "mixture")
+    counts = one.filter("a is null").groupBy("task").agg(F.sum("n").alias("n"))
     count = lambda df, task: df.agg(F.lit(task).alias("task"), F.count("*").alias("n"))
-    t = count(spark.createDataFrame(R.ROOTS, "r string, gana string, artha string"), "morph")
-    for df, task in ((folded(spark, sf_dir), "seg"), (R.lines(docs, "doc_id").filter("length(line) >= 8"), "denoise"), (R.meter_claims(spark, sf_dir), "meter"), (pairs, "sandhi")):
+    t = count(spark.createDataFrame(R.ROOTS, "r string, gana string, artha string"), "morph").unionByName(counts)
+    t = t.unionByName(spark.createDataFrame([("seg", 0), ("denoise", 0)], "task string, n long"))  # of an empty table
+    for df, task in ((R.meter_claims(spark, sf_dir), "meter"), (one.filter("a is not null").select("a", "b").distinct(), "sandhi")):
         t = t.unionByName(count(df, task))
     return t.rollup("task").agg(F.sum("n").alias("n")).select(F.coalesce("task", F.lit("TOTAL")).alias("task"), "n")
 
 
+def _taken():
+    """Of the pairs that no rule changes five in a hundred, by hash; all other rows."""
+    chance = F.conv(F.substring(F.md5(F.concat(F.lit("1337:"), "a", F.lit(" "), "b")), 1, 8), 16, 10).cast("long") % 100
+    return F.when(F.col("plain"), chance < 5).otherwise(True)
+
+
 # Weights of the symbolic score and of the model in each arm.
 MODEL_ARMS = (("symbolic", 1.0, 0.0), ("trigram", 0.0, 1.0), ("joint", 1.0, 0.15))
 
