@@ -68,3 +68,16 @@ def test_fold(spark):
     fold = registry.K.Folder(boundaries.sandhi.first_results())
     joined, k = fold(*(registry.K.pa.array(x) for x in zip(*pairs, strict=True)))
     assert [want[p] for p in pairs] == list(zip(joined.to_pylist(), fold.name.take(registry.K.pa.array(k)).to_pylist(), strict=True))
+
+
+def test_rarest(spark):
+    """The same words whether all, some or none of the lexicon are looked up without a shuffle; held words too."""
+    docs = registry.table(spark, SF, "documents")
+    w = docs.select("doc_id", F.explode(F.split("text", " ")).alias("word")).filter("length(word) >= 3").distinct().cache()
+    lex = w.groupBy("word").agg(F.count("*").alias("freq")).cache()
+    want = w.join(lex, "word").groupBy("doc_id").agg(F.min(F.struct("freq", -F.length("word"), "word")).alias("m"))
+    want = {r.doc_id: r.m.word for r in want.collect()}
+    for head in (0, 50, 10**6):
+        assert {r.doc_id: r.m.word for r in registry._rarest(w, lex, head).collect()} == want
+    held = lex.filter("freq = 1").select(F.col("word").alias("held"))
+    assert len({registry._with_held(w, held, most).filter("held is not null").count() for most in (0, 10**6)}) == 1
