@@ -39,6 +39,16 @@ _LIMIT = 1 << 20
 
 
 # --- difference cover ---------------------------------------------------------------------------------
+def _order(key: np.ndarray, most: int) -> np.ndarray:
+    """Places of numbers from 0 to ``most`` in ascending order; numbers of 16 and 32 bits by their digits."""
+    if most < 1 << 16:
+        return np.argsort(key.astype(np.uint16), kind="stable")
+    if most < 1 << 32:
+        order = np.argsort((key & 0xFFFF).astype(np.uint16), kind="stable")
+        return order[np.argsort((key >> 16).astype(np.uint16)[order], kind="stable")]
+    return np.argsort(key)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Positions of an array of numbers from 0, in the order of the suffixes that start there."""
     s = np.asarray(s, np.int64)
@@ -56,7 +66,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if (top + 1) ** 2 * max(top + 1, n + 4) >= 1 << 63:  # a third number doesn't fit: names of pairs, in their order
         pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
     key = pair[sample] * (top + 1) + t[sample + 2]
-    order = np.argsort(key, kind="stable")
+    order = _order(key, int(key.max()))  # ties get one name, whatever their order
     ranked = key[order]
     names = np.empty(len(sample), np.int64)
     new = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
@@ -67,25 +77,15 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 4, np.int64)  # 0: past the end
     rank[sample] = names + 1
     sa12 = sample[order]
+    zero = sa12[sa12 % 3 == 1] - 1  # in the order of what follows their first number
+    sa0 = zero[np.argsort(t[zero].astype(np.uint16), kind="stable") if top < 1 << 16 else np.argsort(t[zero] * (n + 4) + rank[zero + 1])]
     sa12 = sa12[sa12 < n]
-    zero = np.arange(0, n, 3)
-    sa0 = zero[np.argsort(t[zero] * (n + 4) + rank[zero + 1], kind="stable")]
-    # each remaining suffix's place among the sampled ones, by binary search over all of them at once
-    lo, hi = np.zeros(len(sa0), np.int64), np.full(len(sa0), len(sa12), np.int64)
+    # each remaining suffix's place among the sampled ones: those of either kind are in the order of their own keys, and so are the suffixes looked up
     width = n + 4
-    one = t[sa0] * width + rank[sa0 + 1]
-    two = pair[sa0] * width + rank[sa0 + 2]
     first = sa12 % 3 == 1
-    key12 = np.where(first, t[sa12] * width + rank[sa12 + 1], pair[sa12] * width + rank[sa12 + 2])
-    while True:
-        open_ = lo < hi
-        if not open_.any():
-            break
-        mid = (lo + hi) >> 1
-        at = np.minimum(mid, len(sa12) - 1)
-        less = np.where(first[at], key12[at] < one, key12[at] < two)  # the sampled suffix comes first
-        lo = np.where(open_ & less, mid + 1, lo)
-        hi = np.where(open_ & ~less, mid, hi)
+    a, b = sa12[first], sa12[~first]
+    lo = np.searchsorted(t[a] * width + rank[a + 1], t[sa0] * width + rank[sa0 + 1])
+    lo += np.searchsorted(pair[b] * width + rank[b + 2], pair[sa0] * width + rank[sa0 + 2])
     out = np.empty(n, np.int64)
     place = lo + np.arange(len(sa0))
     out[place] = sa0
@@ -209,7 +209,7 @@ def _occurrences(length: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (h, doc_id), those whose h is in two documents. Until the second one comes, one document's rows of an h are held."""
+    """Of rows sorted by h, those whose h is in two documents. Until the second one comes, one document's rows of an h are held."""
     held: list[pa.RecordBatch] = []
     at = None  # the h that was last, its document, and whether it is repeated
     for b in batches:
@@ -218,7 +218,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
         cut = np.flatnonzero(h[1:] != h[:-1]) + 1
         first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(h)]]) - 1
-        multi = doc[first] != doc[last]
+        multi = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
         if at is not None and at[0] == h[0]:
             multi[0] |= at[2] or at[1] != doc[0]
             if multi[0]:
@@ -387,7 +387,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     lone = src.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text")).join(small(copies), ["doc_id", "th"], "left_anti")
 
     seen = lone.select("doc_id", "text").mapInArrow(_occurrences(length), "h long, doc_id long, pos int, rest array<int>")
-    found = seen.repartition("h").sortWithinPartitions("h", "doc_id").mapInArrow(_repeated, "doc_id long, pos int, rest array<int>")
+    # by one number alone, which Spark sorts digit by digit
+    found = seen.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "doc_id long, pos int, rest array<int>")
     found = materialize(found.groupBy("doc_id").agg(F.array_union(F.collect_set("pos"), F.flatten(F.collect_list("rest"))).alias("at")), "anchors")
     kept = lone.join(found, "doc_id").select("doc_id", "th", "text", "at")
     kept = materialize(kept.dropDuplicates(["doc_id", "th"]), "candidates")
