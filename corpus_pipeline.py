@@ -41,8 +41,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every other row stays, repeated ones and rows without an id too. Without labelled rows nothing can be told, and all rows go.
     """
     langs, table = lang_id.fit(docs.filter(bucket(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    found = lang_id.identify(rows, langs, table, ["row"], evidence=True)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = lang_id.identify(rows, langs, table, ["row"], evidence=True, inside="row")
     junk = (F.col("_grams") >= JUDGED_GRAMS) & (F.col("_gain") < 0)
     return found.filter((F.col("lang_pred") != lang_id.UND) & (F.col("_share") >= MIN_SHARE) & ~junk).select("row.*")
 

@@ -33,7 +33,7 @@ GRAM = 4
 BLOCK = 24  # n-grams of a block
 ROUNDS = 12
 UND = "und"
-_LIMIT = 2 << 20
+_LIMIT = 1 << 19
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -147,12 +147,13 @@ def _mixtures(ll: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, score, share.max(axis=1), total
 
 
-def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str], text_col: str = "text", evidence: bool = False) -> DataFrame:
+def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[str], text_col: str = "text", evidence: bool = False, inside: str | None = None) -> DataFrame:
     """``keep`` columns with lang_pred and score appended (clashing names are replaced).
 
     ``evidence`` appends three more: _grams, the n-grams of the text; _share, the largest share of the mixture over
     all languages, which has no lower bound but 1 / their number; _gain, the nats an n-gram by which that mixture explains the text
     better than letters drawn one by one. Texts shorter than an n-gram have 0, 0.5 and 0: they tell too little to be judged.
+    ``inside`` names the struct of ``keep`` that has the text, which then isn't sent to the workers a second time.
     """
     added = ["lang_pred", "score", *(["_grams", "_share", "_gain"] if evidence else [])]
     keep = [c for c in keep if c not in added]
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(b.num_columns - 1)
+            text = b.column(b.num_columns - 1) if inside is None else b.column(keep.index(inside)).field(at_text)
             raw, off = byte_view(text)
             lettered = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             pred, score = np.full(b.num_rows, -1), np.zeros(b.num_rows)
@@ -185,12 +186,13 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, keep: list[st
                     pred[bare], score[bare] = odds.argmax(axis=1), (odds / odds.sum(axis=1, keepdims=True)).max(axis=1)
             names = np.array([*langs, UND], dtype=object)
             pred[~lettered], score[~lettered] = -1, 0.0
-            cols = [b.column(k) for k in range(b.num_columns - 1)]
+            cols = [b.column(k) for k in range(len(keep))]
             out = [pa.array(names[pred], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(grams, pa.int64()), pa.array(broad), pa.array(gain)]
-            yield pa.RecordBatch.from_arrays([*cols, *out[: len(added)]], names=[*b.schema.names[:-1], *added])
+            yield pa.RecordBatch.from_arrays([*cols, *out[: len(added)]], names=[*b.schema.names[: len(keep)], *added])
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = StructType(rows.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
+    rows = docs.select(*keep, *([] if inside else [F.col(text_col).alias("__text")]))
+    at_text = [x.lower() for x in rows.schema[inside].dataType.names].index(text_col.lower()) if inside else None
+    fields = StructType(rows.schema.fields[: len(keep)]).add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, fields.add("_grams", "long").add("_share", "double").add("_gain", "double") if evidence else fields)
 
 

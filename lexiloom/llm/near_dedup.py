@@ -36,7 +36,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10  # bits of a register beside 6 bits of leading zeros
 CHUNK = 3000  # documents of a block that one task holds at most twice
 PACK = 64  # small blocks go together into about so many groups a million documents
-_LIMIT = 4 << 20
+_LIMIT = 1 << 20  # bytes of text hashed at once; a worker holds some eighty times as many
 _EMPTY = np.uint16(0xFFFF)
 _SALTS = mix64(np.arange(1, 300, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = np.uint64(0x2545F4914F6CDD1D)
