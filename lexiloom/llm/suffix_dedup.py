@@ -5,6 +5,7 @@ the text is first cut down to where a repeat can be, without loss. Anchors are t
 K-byte gram has the smallest hash of a window of ``length`` bytes: two equal strings of that length
 have an anchor at the same place in them. Only anchors whose hash occurs in two documents
 matter; the bytes around one, its context, hold every string of that length which it anchors.
+Anchors are packed, many in a row, by ranges of their hashes.
 In a run or a periodic text every position may be an anchor, with the same bytes around: a document sends each of its
 contexts once, with the places, so that such a text moves four bytes a place. Contexts are dealt out by anchor hash, so that all occurrences of a string meet. In each task the
 contexts' suffixes are sorted by the difference-cover algorithm (sort sampled triples, recurse on their
@@ -36,6 +37,8 @@ GRAM = 20
 NONE_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # of an empty string
 SHARD = 1 << 20  # bytes that one suffix array holds
 _LIMIT = 1 << 20
+#: Anchors that a task packs together; ranges of hashes at least, and bytes of text for each further one.
+PACKED, PARTS, PART = 1 << 20, 1024, 8 << 20
 
 
 # --- difference cover ---------------------------------------------------------------------------------
@@ -186,28 +189,100 @@ def _twice(h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def _occurrences(length: int):
+def _occurrences(length: int, parts: int):
+    """(part, h, doc, n, pos) of anchors, many in a row: bytes of their hashes, documents and numbers of places, and of the places. A part holds a range of hashes."""
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")  # in the order of the text within a part, which is what compresses
+        part, h, doc, pos = part[order], h[order], doc[order], pos[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)  # places of one anchor that a document has again and again
+        n = np.diff(np.append(first, len(h))).astype(np.uint32)
+        cut = np.flatnonzero(np.diff(part)) + 1
+        edge, inner = np.concatenate([[0], cut, [len(h)]]), np.concatenate([[0], np.searchsorted(first, cut), [len(first)]])
+        blobs = lambda x, at: pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * x.itemsize), pa.py_buffer(x)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int32)), blobs(h[first], inner), blobs(doc[first], inner), blobs(n, inner), blobs(pos, edge)], names=["part", "h", "doc", "n", "pos"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             raw, off = byte_view(b.column(1))
             for _, _, at, h in _long(raw, off, length):
                 row = np.searchsorted(off, at, "right") - 1
-                twice = _twice(h, row)
-                batch = lambda k, first, places: pa.RecordBatch.from_arrays([pa.array(h[k][first].view(np.int64)), pa.array(ids[row[k][first]].astype(np.int64)), *places], names=["h", "doc_id", "pos", "rest"])
-                lone = np.flatnonzero(~twice)  # in the order of the text, which is what compresses
-                yield batch(lone, slice(None), _places((at - off[row])[lone], np.arange(len(lone))))
-                if twice.any():
-                    k = np.flatnonzero(twice)
-                    k = k[np.lexsort((at[k], h[k], row[k]))]
-                    new = np.ones(len(k), bool)
-                    new[1:] = (h[k][1:] != h[k][:-1]) | (row[k][1:] != row[k][:-1])
-                    first = np.flatnonzero(new)
-                    yield batch(k, first, _places((at - off[row])[k], first))
+                if len(h):
+                    held.append((h, ids[row], (at - off[row]).astype(np.int32)))
+                    size += len(h)
+                if size >= PACKED:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of ``_occurrences`` sorted by part: (h, doc_id, pos, rest) sorted by h, without hashes that occur once."""
+
+    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, doc, n, pos = (np.frombuffer(b"".join(x for b in held for x in b.column(k).to_pylist()), t) for k, t in ((1, np.uint64), (2, np.int64), (3, np.uint32), (4, np.int32)))
+        order = np.argsort(h)
+        same = np.zeros(len(h) + 1, bool)
+        same[1:-1] = h[order[1:]] == h[order[:-1]]
+        order = order[same[1:] | same[:-1]]
+        n, begin = n[order].astype(np.int64), np.cumsum(n, dtype=np.int64)[order] - n[order]
+        first = np.cumsum(n) - n
+        at = pos[np.repeat(begin - first, n) + np.arange(n.sum())]
+        yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), pa.array(doc[order]), *_places(at, first)], names=["h", "doc_id", "pos", "rest"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        part = b.column(0).to_numpy()
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if held and held[-1].column(0)[0].as_py() != part[lo]:
+                yield from solve(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield from solve(held)
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, at) from (doc_id, pos, rest): the places of a document in one row, for so many rows as are held together."""
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        doc, pos = table.column("doc_id").to_numpy(), table.column("pos").to_numpy()
+        n = 1 + pc.fill_null(pc.list_value_length(table.column("rest")), 0).to_numpy().astype(np.int64)
+        begin = np.cumsum(n) - n
+        at = np.empty(n.sum(), np.int32)
+        more = np.ones(len(at), bool)
+        more[begin] = False
+        at[begin], at[more] = pos, np.concatenate([c.flatten().to_numpy() for c in table.column("rest").chunks])
+        order = np.argsort(doc, kind="stable")
+        doc, n, begin = doc[order], n[order], begin[order]
+        end = np.cumsum(n)
+        at = at[np.repeat(begin - end + n, n) + np.arange(len(at))]
+        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.ListArray.from_arrays(pa.array(np.append((end - n)[head], len(at)).astype(np.int32)), pa.array(at))], names=["doc_id", "at"])
+
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size >= PACKED:
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by h, those whose h is in two documents. Until the second one comes, one document's rows of an h are held."""
     held: list[pa.RecordBatch] = []
@@ -386,10 +461,12 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     copies = materialize(copies.distinct(), "copies")
     lone = src.filter((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).withColumn("th", F.xxhash64("text")).join(small(copies), ["doc_id", "th"], "left_anti")
 
-    seen = lone.select("doc_id", "text").mapInArrow(_occurrences(length), "h long, doc_id long, pos int, rest array<int>")
-    # by one number alone, which Spark sorts digit by digit
-    found = seen.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "doc_id long, pos int, rest array<int>")
-    found = materialize(found.groupBy("doc_id").agg(F.array_union(F.collect_set("pos"), F.flatten(F.collect_list("rest"))).alias("at")), "anchors")
+    # by ranges of hashes: a row for each range and task, or a part of it, instead of one for each anchor
+    size = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    parts = min(max(PARTS, size // PART), 1 << 16)
+    seen = lone.select("doc_id", "text").mapInArrow(_occurrences(length, parts), "part int, h binary, doc binary, n binary, pos binary")
+    found = seen.repartition("part").sortWithinPartitions("part").mapInArrow(lambda x: _by_document(_repeated(_unpacked(x))), "doc_id long, at array<int>")
+    found = materialize(found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")), "anchors")
     kept = lone.join(found, "doc_id").select("doc_id", "th", "text", "at")
     kept = materialize(kept.dropDuplicates(["doc_id", "th"]), "candidates")
     ctx = kept.mapInArrow(_contexts(length), "h long, ctx binary, doc_id long, th long, pos int, rest array<int>")
